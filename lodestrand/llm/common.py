@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_000)
             if b.num_rows:
                 yield b
             continue
-        sizes = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for i, n in enumerate(sizes):
             if i > start and total + n > most:
