@@ -24,6 +24,8 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
@@ -124,6 +126,7 @@ def _ranges(pages: DataFrame, per_range: int, bins: int = 4096) -> list:
     lo, hi, n = pages.agg(F.min("page_id"), F.max("page_id"), F.count("page_id")).first()
     if not n:
         return []
+    bins = min(1 << 20, max(bins, 4 * n // per_range))
     width = (hi - lo) // bins + 1
     cells = pages.filter("page_id is not null").groupBy(F.floor((F.col("page_id") - lo) / width).alias("c")).count().collect()
     bounds, seen = [], 0
@@ -146,7 +149,7 @@ def write(pages: DataFrame, out: str, per_range: int = 4096, roll_bytes: int = 2
     bounds = _ranges(pages.select("page_id"), per_range)
     slot = F.coalesce(F.expr(f"array_size(filter(array({','.join(f'{b}L' for b in bounds) or 'cast(null as bigint)'}), b -> b <= page_id))"), F.lit(-1)) if len(bounds) < 50 else F.coalesce(_slot(bounds)(F.col("page_id")), F.lit(-1))
     rows = join_small(src, firsts, ["sha"], "left").withColumn("slot", slot.cast("int"))
-    n = max(1, min(len(bounds) + 2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n = min(len(bounds) + 2, 100_000)  # a task for each range or two: tasks don't grow with the input
     rows = rows.repartition(n, "slot").sortWithinPartitions("slot", "page_id", "url", "sha").select("slot", "page_id", "url", "html", "sha", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +206,6 @@ def write(pages: DataFrame, out: str, per_range: int = 4096, roll_bytes: int = 2
 
 def _slot(bounds: list):  # noqa: ANN202
     """Number of bounds at or below an id, for many bounds: a binary search over a literal in a pandas UDF."""
-    import numpy as np
-    import pandas as pd
-
     at = np.array(bounds)
 
     @F.pandas_udf("int")
