@@ -2,8 +2,8 @@
 
 Tokens are 64-bit hashes of word n-grams. Texts with equal sets are one class. Classes are put into groups
 of similar ones, each with the union of its members' tokens. A query meets a group only if
-they share a token of their prefixes (under one global order of tokens, a set's first
-n - ceil(t n) + 1 tokens hold one of every set it can be linked to); then the group's union bounds the
+they share enough tokens of their prefixes (under one global order of tokens, a set's first
+n - ceil(t n) + k tokens hold k of every set it can be linked to, k growing with n); then the group's union bounds the
 overlap that any member can have with the query, and only groups whose bound reaches the threshold are
 opened and their members compared.
 
@@ -39,6 +39,11 @@ _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 _BAND = U(0x5851F42D4C957F2D)
 
 
+def least(n):  # noqa: ANN001, ANN201
+    """How many tokens linked sets share at least within prefixes of n - ceil(t n) + least(n) tokens."""
+    return 1 + n // 64
+
+
 class _Words(dict):
     def __missing__(self, w: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(w)
@@ -123,7 +128,7 @@ def _emit(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray, num: int,
                 seen.clear()
             seen.add(name)
             size = len(h)
-            prefix = size - -(-size * num // den) + 1
+            prefix = size - -(-size * num // den) + least(size)
             at = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1))
             is_hot = hot[at] == h if len(hot) else np.zeros(size, bool)
             for band in (0, 1):  # sets of up to `small` tokens meet in band 0, others and those they may be linked to in band 1
@@ -221,8 +226,14 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], num: int, den: int, above
 
 
 def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int, small: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (pair, side): pairs of groups. Out: (cid, links, to): links to other classes, an edge or null."""
-    pair, band, rows = None, 0, ([], [])
+    """Rows sorted by (group, slot, partner): a group's members, then those of each group it meets. Out: (cid, links, to): links to other classes, an edge or null."""
+    task, other, band, rows = None, None, 0, ([], [])
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        """What the group has with the one just read; the group with itself in its first slot alone."""
+        left, right = rows
+        if right or (task[1] == 0 and len(left) > 1 and other is None):
+            yield result()
 
     def result() -> pa.RecordBatch:
         left, right = rows
@@ -254,14 +265,20 @@ def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int, small: int)
         return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([int(links[i]) for i in keep], pa.int64()), pa.array([to[i] for i in keep], pa.int64())], names=["cid", "links", "to"])
 
     for b in batches:
-        for p, which, side, cid, copies, blob in zip(*(c.to_pylist() for c in b.columns)):
-            if p != pair:
-                if rows[0] and (rows[1] or len(rows[0]) > 1):
-                    yield result()
-                pair, band, rows = p, which, ([], [])
-            rows[side].append((cid, copies, blob))
-    if rows[0] and (rows[1] or len(rows[0]) > 1):
-        yield result()
+        for g1, slot, g2, which, cid, copies, blob in zip(*(c.to_pylist() for c in b.columns)):
+            if (g1, slot) != task:
+                if rows[0]:
+                    yield from ended()
+                task, other, band, rows = (g1, slot), None, which, ([], [])
+            elif g2 != other:
+                yield from ended()
+                rows = (rows[0], [])
+            other = g2
+            side = rows[g2 is not None]
+            if not side or side[-1][0] != cid:  # repeated rows of an id come one after another
+                side.append((cid, copies, blob))
+    if rows[0]:
+        yield from ended()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -283,7 +300,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def similar(docs: DataFrame, n: int = 5, percent: int = 80, small: int = 64, part: int = 4, run: int = 100_000, group_tokens: int = 250_000, hot_share: int = 1000, max_broadcast: int = 200_000) -> DataFrame:
+def similar(docs: DataFrame, n: int = 5, percent: int = 80, small: int = 64, part: int = 4, run: int = 100_000, group_tokens: int = 250_000, partners: int = 32, hot_share: int = 1000, max_broadcast: int = 200_000) -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id for each row of docs(doc_id, text), doc_id an integer."""
     spark = docs.sparkSession
     num, den = percent, 100
@@ -303,9 +320,10 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, small: int = 64, par
     tokens = arrow_map(src.select("text"), lambda it: _emit(it, n, hot_b.value, num, den, small, part), "token long, key long, meta long")
     shared = arrow_map(tokens.repartition(parts, "token").sortWithinPartitions("token", "key"), lambda it: _shared(it, run), "key long, band int, n long, e long, kind int, freq long, token long")
     sets = shared.groupBy("key", "band").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.collect_list(F.struct("kind", "freq", "token")).alias("t"))
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    k = 1 + F.floor(F.col("n") / 64)  # least(n)
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + k
     unique = F.col("e") - F.size(F.filter("t", lambda x: x["kind"] == 0))
-    active = cut(sets.withColumn("need", (prefix - unique).cast("int")).filter("need > 0").select("key", "band", "n", F.array_min(F.transform("t", lambda x: x["token"])).alias("seed"), F.expr("transform(slice(array_sort(t), 1, need), x -> x.token)").alias("prefix")))
+    active = cut(sets.withColumn("need", (prefix - unique).cast("int")).filter((F.col("need") >= k) & (F.size("t") >= k)).select("key", "band", "n", F.array_min(F.transform("t", lambda x: x["token"])).alias("seed"), F.expr("transform(slice(array_sort(t), 1, need), x -> x.token)").alias("prefix")))
 
     seeds = active.groupBy("seed", "band").agg(F.ceil(F.sum("n") / group_tokens).alias("chunks"))
     grouped = cut(active.join(seeds, ["seed", "band"]).select("key", "n", F.xxhash64("seed", "band", F.pmod("key", "chunks")).alias("g"), "band", "prefix"))
@@ -313,7 +331,9 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, small: int = 64, par
     more = matrix.groupBy("token").count().filter("count > 1").select("token")
     matrix = cut(matrix.join(more, "token", "left_semi"))
     a, b = (matrix.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("g", "lo", "hi")]) for s in "12")
-    pairs = a.join(b, "token").filter((F.col("g1") < F.col("g2")) & (F.col("hi1") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo1") * num)).select("g1", "g2").distinct()
+    fits = (F.col("g1") < F.col("g2")) & (F.col("hi1") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo1") * num)
+    both = a.join(b, "token").filter(fits).groupBy("g1", "g2").agg(F.count("*").alias("common"), F.min(F.least("lo1", "lo2")).alias("lo"))
+    pairs = both.filter(F.col("common") >= 1 + F.floor(F.col("lo") / 64)).select("g1", "g2")
     selves = grouped.groupBy("g").count().filter("count > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     pairs = cut(pairs.unionByName(selves))
     used = pairs.select(F.explode(F.array("g1", "g2")).alias("g")).distinct()
@@ -321,14 +341,16 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, small: int = 64, par
 
     # the whole sets of the classes that some pair of groups needs, made again from their texts
     keyed = classes.withColumn("key", _key_udf()("name"))
-    wanted = cut(keyed.join(members.select("key").distinct(), "key", "left_semi").select("cid", "copies", "key", "name"))
-    texts = join_small(src, wanted.withColumnRenamed("cid", "doc_id"), ["doc_id"], "inner", max_broadcast)
-    blobs = cut(arrow_map(texts.select("doc_id", "copies", "key", "name", "text"), lambda it: _blobs(it, n), "cid long, copies long, key long, blob binary").dropDuplicates(["cid"]))
-    sets_of = members.join(blobs, "key").select("g", "band", "cid", "copies", "blob")
-    left = pairs.select("g1", "g2", F.col("g1").alias("g"), F.lit(0).alias("side"))
-    right = pairs.filter("g1 <> g2").select("g1", "g2", F.col("g2").alias("g"), F.lit(1).alias("side"))
-    work = left.unionByName(right).join(sets_of, "g").select(F.xxhash64("g1", "g2").alias("pair"), "band", "side", "cid", "copies", "blob")
-    found = cut(arrow_map(work.repartition(parts, "pair").sortWithinPartitions("pair", "side", "cid"), lambda it: _compare(it, num, den, small), "cid long, links long, to long"))
+    places = members.groupBy("key").agg(F.collect_list(F.struct("g", "band")).alias("at"))  # two at most, one a band
+    wanted = cut(keyed.join(places, "key").select(F.col("cid").alias("doc_id"), "copies", "name", "at"))
+    texts = join_small(src, wanted, ["doc_id"], "inner", max_broadcast)
+    sets_of = arrow_map(texts.select("doc_id", "copies", "name", "at", "text"), lambda it: _blobs(it, n), "g long, band int, cid long, copies long, blob binary")
+    # a task opens a group and all groups that it meets: its own members are sent once for `partners` of these
+    slots = pairs.groupBy("g1").agg(F.ceil(F.count("*") / partners).alias("slots"))
+    left = slots.select(F.col("g1").alias("g"), F.col("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), F.lit(None).cast("long").alias("g2"))
+    right = pairs.filter("g1 <> g2").join(slots, "g1").select(F.col("g2").alias("g"), "g1", F.pmod(F.xxhash64("g2"), "slots").alias("slot"), "g2")
+    work = left.unionByName(right).join(sets_of, "g").select("g1", "slot", "g2", "band", "cid", "copies", "blob")
+    found = cut(arrow_map(work.repartition(parts, "g1", "slot").sortWithinPartitions("g1", "slot", F.col("g2").asc_nulls_first(), "cid"), lambda it: _compare(it, num, den, small), "cid long, links long, to long"))
     return _finish(rows, classes, found, kind, max_broadcast)
 
 
@@ -341,11 +363,16 @@ def _key_udf():  # noqa: ANN202
 
 
 def _blobs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """A row for each group that a class is in."""
     for b in pieces(batches, "text"):
-        h = [shingles(t, n) for t in b.column("text").to_pylist()]
-        keep = [i for i, (x, name) in enumerate(zip(h, b.column("name").to_pylist())) if _name(x) == name]  # of repeated ids
-        sel = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(sel), b.column("copies").take(sel), b.column("key").take(sel), pa.array([h[i].tobytes() for i in keep], pa.binary())], names=["cid", "copies", "key", "blob"])
+        rows = []
+        for cid, copies, name, at, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "copies", "name", "at", "text"))):
+            h = shingles(text, n)
+            if _name(h) == name:  # an id may be repeated with another text
+                rows += [(x["g"], x["band"], cid, copies, h.tobytes()) for x in at]
+        if rows:
+            cols = zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["g", "band", "cid", "copies", "blob"])
 
 
 def _finish(rows: DataFrame, classes: DataFrame, found: DataFrame, kind: str, max_broadcast: int) -> DataFrame:
