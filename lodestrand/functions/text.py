@@ -20,12 +20,16 @@ def normalise(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\x00", ""), r"^\x{FEFF}", "")
 
 
+def _at(part: Column, text: Column) -> Column:
+    return F.call_function("locate", part, text)
+
+
 def _parts(text: Column) -> tuple[Column, Column, Column, Column]:
     """Opening mark, text after it, closing mark in that, text between."""
     start = F.regexp_extract(text, _MARK % "START", 0)
-    after = F.when(start == "", text).otherwise(F.substring(text, F.locate(start, text) + F.length(start), F.length(text)))
+    after = F.when(start == "", text).otherwise(F.substring(text, _at(start, text) + F.length(start), F.length(text)))
     end = F.regexp_extract(after, _MARK % "END", 0)
-    body = F.when(end == "", after).otherwise(F.substring(after, F.lit(1), F.locate(end, after) - 1))
+    body = F.when(end == "", after).otherwise(F.substring(after, F.lit(1), _at(end, after) - 1))
     return start, after, end, body
 
 
@@ -95,7 +99,7 @@ def primary_class(locc: Column) -> Column:
 
 def subject_keys(subjects: Column, depth: int = 2) -> Column:
     """Headings cut to their first facets, in lower case, each once."""
-    cut = lambda h: F.lower(F.array_join(F.transform(F.slice(F.split(h, "--"), 1, depth), F.trim), " -- "))
+    cut = lambda h: F.lower(F.array_join(F.transform(F.slice(F.split(h, "--"), 1, depth), lambda x: F.trim(x)), " -- "))
     return F.array_distinct(F.filter(F.transform(F.split(subjects, ";"), lambda h: cut(F.trim(h))), lambda x: x != ""))
 
 

@@ -28,7 +28,7 @@ def chance(truth: DataFrame, label: str = "label") -> DataFrame:
 
 
 def first_hits(hit: DataFrame) -> DataFrame:
-    return hit.groupBy("query").agg(F.min(F.when("hit", F.col("rank"))).alias("first"))
+    return hit.groupBy("query").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))
 
 
 def displacement(first: DataFrame) -> DataFrame:

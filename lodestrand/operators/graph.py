@@ -22,7 +22,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         new = cut(up.join(down, "a").select(F.explode(F.array(pair(F.col("b"), F.col("m")), pair(F.col("a"), F.col("m")))).alias("x")).select("x.*").filter("a <> b").distinct())
         mark = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark(new) == mark(e):
-            return new.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
+            ends = new.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            return ends.unionByName(ends.select(F.col("component").alias("id"), "component").distinct())
         e = new
     raise RuntimeError("components did not settle")
 

@@ -64,7 +64,7 @@ def _pairs(a: DataFrame, b: DataFrame, width: int, dtype: type, f: Callable, sch
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return sum(np.bitwise_count(a[:, w, None] ^ b[None, :, w]).astype(np.int32) for w in range(a.shape[1]))
+    return sum(np.bitwise_count((a[:, w, None] ^ b[None, :, w]).view(np.uint64)).astype(np.int32) for w in range(a.shape[1]))
 
 
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,9 +114,6 @@ def open_sidecar(spark: SparkSession, path: str, base_count: int, model: str | N
 def read_cache_lines(spark: SparkSession, path: str, model: str) -> DataFrame:
     """(hash, model, dim, vec, line) of a JSON Lines cache h, m, d, v (base64 of half floats): lines that are broken,
     of another model, or whose hash or vector has the wrong length are left out; of a key, the first line stays."""
-    import numpy as np
-    import pandas as pd
-
     from ..operators.vectors import first_in_cache
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
