@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNORDERED = frozenset("SUM PRODUCT MAX MIN AND OR COUNT COUNTA AVERAGE MEDIAN GCD LCM".split())
-_SHEET = r"(?:(?:'[^']+'|\w+)!)?"
-_CELL = r"\$?[A-Z]{1,3}\$?\d{1,7}"
+_SHEET = r"(?:(?:\w+|'[^']+')!)?"
+_CELL = r"[$]?[A-Z]{1,3}[$]?\d{1,7}"
 _LEX = re.compile(
     "|".join(
         f"(?P<{kind}>{rule})"
         for kind, rule in (
-            ("str", r'"(?:""|[^"])*"'), ("func", r"[A-Z][\w.]*(?=\s*\()"), ("ref", rf"{_SHEET}{_CELL}(?::{_CELL})?"), ("num", r"\d+(?:\.\d*)?(?:E[+-]?\d+)?"), ("err", rf"{_SHEET}\#(?:REF!|DIV/0!|N/A|VALUE!|NAME\?|NUM!|NULL!|SPILL!|CALC!|GETTING_DATA)"),
-            ("name", r"(?:'[^']+'!)?[A-Z_\\][\w.\\]*"), ("op", r"<=|>=|<>|[-+*/^&<>=%]"), ("punct", r"[(),;:{}\[\]!]"), ("ws", r"\s+"),
+            ("str", r'"(?:""|[^"])*"'), ("func", r"[A-Z][\w.]*(?=\s*\()"), ("ref", rf"{_SHEET}{_CELL}(?::{_CELL})?"), ("num", r"\d+(?:\.\d*)?(?:E[+-]?\d+)?"), ("err", rf"{_SHEET}\#(?:CALC!|DIV/0!|GETTING_DATA|NAME[?]|NULL!|NUM!|N/A|REF!|SPILL!|VALUE!)"),
+            ("name", r"(?:'[^']*'!)?[_A-Z\\][\w.\\]*"), ("op", r"<>|[<>]=|[%&*+/<=>^-]"), ("punct", r"[][!(),:;{}]"), ("ws", r"\s+"),
         )
     ),
     re.I | re.A,

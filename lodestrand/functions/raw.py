@@ -81,39 +81,62 @@ def clean_text(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else clean(bytes(x)))
 
 
+def _pack(pieces: Iterator[str], limit: int, glue: str) -> Iterator[str]:
+    """Pieces joined as long as they fit."""
+    held = ""
+    for piece in pieces:
+        joined = glue.join(x for x in (held, piece) if x)
+        if len(joined) <= limit:
+            held = joined
+            continue
+        if held:
+            yield held
+        held = piece
+    if held:
+        yield held
+
+
 def chunks_by_sentence(text: str, limit: int = 800) -> list[str]:
-    """Sentences packed into chunks of up to `limit` characters; longer ones cut at a space in their second half."""
-    out, now = [], ""
-    for s in re.split(r"(?<=[.!?])\s+", " ".join(text.split())):
-        while len(s) > limit:
-            if now:
-                out.append(now)
-                now = ""
-            cut = s.rfind(" ", limit // 2, limit)
-            cut = cut if cut > 0 else limit
-            out.append(s[:cut])
-            s = s[cut:].lstrip()
-        if now and len(now) + 1 + len(s) > limit:
-            out.append(now)
-            now = s
-        else:
-            now = f"{now} {s}".strip()
-    return out + [now] * bool(now)
+    """Sentences packed into chunks of up to `limit` characters; of longer ones, parts are cut at a space of their
+    second half and come at once, before what was being packed."""
+    flat = " ".join(text.split())
+    if len(flat) <= limit:
+        return [flat]
+    early: list[str] = []
+    out: list[str] = []
+
+    def sentences() -> Iterator[str]:
+        for s in re.split(r"(?<=[.!?])\s+", flat):
+            while len(s) > limit:
+                at = s.rfind(" ", 0, limit)
+                at = at if at >= limit // 2 else limit
+                early.append(s[:at])
+                s = s[at:].strip()
+            out.extend(early)
+            early.clear()
+            yield s
+
+    for chunk in _pack(sentences(), limit, " "):
+        out.append(chunk)
+    return out
 
 
 def chunks_by_stop(text: str, limit: int = 600) -> list[str]:
-    """Like chunks_by_sentence, every mark that ends a sentence made a full stop first."""
-    flat = " ".join(text.split()).replace("! ", ". ").replace("? ", ". ")
-    out, now = [], ""
-    for s in flat.split(". "):
-        s = s if s.endswith(".") else s + "." if s != flat.rpartition(". ")[2] else s
-        for piece in [s[i : i + limit] for i in range(0, len(s), limit)]:
-            if now and len(now) + 1 + len(piece) > limit:
-                out.append(now)
-                now = piece
-            else:
-                now = f"{now} {piece}".strip()
-    return out + [now] * bool(now)
+    """Sentences, every mark at an end taken for a full stop, packed with full stops between; longer ones cut hard."""
+    flat = " ".join(text.split())
+    if len(flat) <= limit:
+        return [flat]
+    held, out = "", []
+    for s in filter(None, map(str.strip, re.split(r"[.!?] ", flat))):
+        joined = f"{held}. {s}" if held else s
+        if len(joined) <= limit:
+            held = joined
+            continue
+        out += [held] * bool(held)
+        whole = (len(s) - 1) // limit
+        out += [s[i * limit : (i + 1) * limit] for i in range(whole)]
+        held = s[whole * limit :]
+    return out + [held] * bool(held)
 
 
 def chunks_by_tokens(text: str, encode: Callable[[str], list], decode: Callable[[list], str], limit: int = 254) -> list[str]:
@@ -136,7 +159,7 @@ def hash_embedding(text: str, dim: int = 64) -> np.ndarray:
     """A vector of a text by hashed 4-byte windows: deterministic, without meaning, for tests."""
     b = text.encode("utf-8", "surrogatepass")
     v = np.zeros(dim, np.float32)
-    for i in range(max(1, len(b) - 3)) if b else ():
+    for i in range(len(b) - 3):
         h = 2166136261
         for x in b[i : i + 4]:
             h = (h ^ x) * 16777619 & 0xFFFFFFFF

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _MARK = r"(?ims)^[\x{FEFF} \t]*\*{3}\s*%s\s+OF\s+TH(?:E|IS)\s+PROJECT\s+GUTENBERG\s+EBOOK.{0,300}?\*{3}"
-_CREDIT = r"(?is)^\s*(?:produced|prepared|transcribed|e-?text\s+prepared)\s+by\b.*?(?:\n\s*\n|\z)"
-ANCILLARY = ("readme.txt", "license.txt", "contents.txt", "index.txt", "copyright.txt", "donate.txt", "errata.txt", "notes.txt", "changelog.txt")
+_CREDIT = r"(?is)^\s*(?:e-?text\s+prepared|transcribed|prepared|produced)\s+by\b.*?(?:\n\s*\n|\z)"
+ANCILLARY = tuple(f"{n}.txt" for n in "cd-dvd-readme contents donate-howto instructions license pnote readme readme-license readme-math".split())
 
 
 def collapse(text: Column) -> Column:
@@ -46,9 +46,9 @@ def strip_envelope(text: Column) -> Column:
 
 
 def strip_envelope_or_null(text: Column) -> Column:
-    """The same, but null where either mark is missing."""
+    """The lines between the marks as they are; null where either mark is missing."""
     start, _, end, body = _parts(text)
-    return F.when((start != "") & (end != ""), F.regexp_replace(body, r"^\s+|\s+\z", ""))
+    return F.when((start != "") & (end != ""), F.regexp_replace(body, r"^[^\n]*\n|\n\z", ""))
 
 
 def paragraphs(text: Column, low: int = 40, high: int = 4000) -> Column:
@@ -99,15 +99,16 @@ def primary_class(locc: Column) -> Column:
 
 def subject_keys(subjects: Column, depth: int = 2) -> Column:
     """Headings cut to their first facets, in lower case, each once."""
-    cut = lambda h: F.lower(F.array_join(F.transform(F.slice(F.split(h, "--"), 1, depth), lambda x: F.trim(x)), " -- "))
+    facets = lambda h: F.filter(F.transform(F.split(h, "--"), lambda x: F.trim(x)), lambda x: x != "")
+    cut = lambda h: F.lower(F.array_join(F.slice(facets(h), 1, depth), " -- "))
     return F.array_distinct(F.filter(F.transform(F.split(subjects, ";"), lambda h: cut(F.trim(h))), lambda x: x != ""))
 
 
 def is_label(value: Column) -> Column:
     """A spreadsheet label: 2 to 200 characters with two letters, neither formula nor number nor date."""
     v = F.trim(value)
-    number = v.rlike(r"^[-+$€£]?[\d.,\s]+%?$") | v.rlike(r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}")
-    return F.length(v).between(2, 200) & ~v.startswith("=") & ~number & v.rlike(r"\p{L}.*\p{L}")
+    number = v.rlike(r"^[£$¥€\s]*[+-]?[,\d]*[.]?\d+\s*%?$") | v.rlike(r"^\d{1,4}[/-]\d{1,2}(?:[/-]\d{1,4})?$")
+    return F.length(v).between(2, 200) & ~v.startswith("=") & ~number & v.rlike("[A-Za-z]{2}")
 
 
 def owner(name: Column) -> Column:
@@ -115,29 +116,33 @@ def owner(name: Column) -> Column:
     return F.when(o != "", o)
 
 
-GENERIC = ("fiction", "general", "history", "literature", "none", "unrelated", "miscellaneous", "other", "text", "book", "story", "novel", "english")
+GENERIC = tuple(
+    "action actions day description emotion emotions event events feeling feelings he human humans it life man men n/a nature none nothing object objects people person place places she subject subjects text they things time unrelated way woman women words work world".split()
+)
 
 
 def clean_subjects(items: Column, generic: tuple[str, ...] = GENERIC) -> Column:
-    """Subjects in lower case without signs at the ends; those that say nothing go."""
-    bare = F.transform(items, lambda x: F.lower(F.regexp_replace(F.trim(x), r"^[\p{Punct}\s]+|[\p{Punct}\s]+$", "")))
-    return F.array_distinct(F.filter(bare, lambda x: (x != "") & ~x.isin(*generic)))
+    """Subjects in lower case without signs at the ends, in order; those that say nothing go."""
+    bare = F.transform(items, lambda x: F.lower(F.regexp_replace(x, r"""^[\s\[\]"'.*-]+|[\s\[\]"'.*-]+$""", "")))
+    return F.filter(bare, lambda x: (x != "") & ~x.isin(*generic))
 
 
 def shared_subjects(answer: Column) -> Column:
     """Subjects of an answer's first SHARED line; null for none or unrelated."""
-    line = F.trim(F.regexp_extract(answer, r"(?im)^\s*SHARED:[ \t]*(.*)$", 1))
+    line = F.trim(F.regexp_replace(F.regexp_extract(answer, r"(?im)^\s*(SHARED.*)$", 1), r"^[^:]*:", ""))
     found = clean_subjects(F.split(line, ","))
-    return F.when(~F.upper(line).isin("", "NONE", "UNRELATED") & (F.size(found) > 0), found)
+    return F.when((line != "") & ~F.upper(line).rlike("^(NONE|UNRELATED)") & (F.size(found) > 0), found)
 
 
 def theme_lines(answer: Column, most: int = 5) -> Column:
     """array<struct<name, subjects>> of THEME lines before any INCOHERENT, `most` at most."""
-    head = F.element_at(F.split(answer, r"(?m)^\s*INCOHERENT"), 1)
-    lines = F.filter(F.split(head, "\n"), lambda x: x.rlike(r"(?i)^\s*THEME:[^|]+\|"))
-    body = lambda x: F.split(F.regexp_replace(x, r"(?i)^\s*THEME:", ""), r"\|")
-    parse = lambda x: F.struct(F.trim(F.element_at(body(x), 1)).alias("name"), F.filter(F.transform(F.split(F.element_at(body(x), 2), ","), lambda s: F.lower(F.trim(s))), lambda s: s != "").alias("subjects"))
-    return F.slice(F.transform(lines, parse), 1, most)
+    head = F.element_at(F.split(F.concat(F.lit("THEME:"), answer), r"(?im)^\s*INCOHERENT"), 1)
+    lines = F.filter(F.split(head, "\n"), lambda x: x.rlike(r"(?i)^\s*THEME:"))
+    body = lambda x: F.regexp_replace(x, r"(?i)^(\s*THEME:)+", "")
+    name = lambda x: F.lower(F.trim(F.element_at(F.split(body(x), r"\|"), 1)))
+    items = lambda x: F.filter(F.transform(F.split(F.regexp_extract(body(x), r"\|(.*)", 1), ","), lambda i: F.lower(F.trim(i))), lambda i: i != "")
+    made = F.transform(lines, lambda x: F.struct(name(x).alias("name"), items(x).alias("subjects")))
+    return F.slice(F.filter(made, lambda t: (t["name"] != "") & ~t["name"].startswith("incoherent") & (F.size(t["subjects"]) > 0)), 1, most)
 
 
 def valid_utf8(data: Column) -> Column:

@@ -37,17 +37,18 @@ def mean_pool(vectors: DataFrame, by: list[str], value: str = "vec", renorm: boo
 POOLS = ("mean", "cls", "max", "last", "concat", "weighted")
 
 
-def pool(tokens: Column, mode: str) -> Column:
-    """One vector of an array of token vectors: mean, first, greatest, last, first and mean together, or mean weighted by place."""
+def pool(tokens: Column, mode: str, renorm: bool = True) -> Column:
+    """One vector of an array of token vectors: mean, first, greatest, last, first and last together, or mean weighted by place."""
     place = lambda f: F.transform(F.sequence(F.lit(0), F.size(F.element_at(tokens, 1)) - 1), f)
     total = lambda i, w: F.aggregate(F.transform(tokens, lambda t, k: F.get(t, i).cast("double") * w(k)), F.lit(0.0), lambda s, x: s + x)
     n = F.size(tokens)
     doubles = lambda v: v.cast("array<double>")
     mean = place(lambda i: total(i, lambda k: F.lit(1.0)) / n)
-    return {
+    made = {
         "mean": lambda: mean, "cls": lambda: doubles(F.element_at(tokens, 1)), "last": lambda: doubles(F.element_at(tokens, -1)), "max": lambda: place(lambda i: F.array_max(F.transform(tokens, lambda t: F.get(t, i).cast("double")))),
-        "concat": lambda: F.concat(doubles(F.element_at(tokens, 1)), mean), "weighted": lambda: place(lambda i: total(i, lambda k: (k + 1).cast("double")) / (n * (n + 1) / 2)),
+        "concat": lambda: F.concat(doubles(F.element_at(tokens, 1)), doubles(F.element_at(tokens, -1))), "weighted": lambda: place(lambda i: total(i, lambda k: (k + 1).cast("double")) / (n * (n + 1) / 2)),
     }[mode]()
+    return normalised(made) if renorm else made
 
 
 def document_scores(paragraphs: DataFrame, query: Column, by: str = "doc_id") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import raw
 from ..functions import text as X
 
-SUFFIXES = tuple("txt md markdown rst tex org adoc html htm xml json csv tsv log c h py go rs".split())
+SUFFIXES = tuple("c go h html java json markdown md ml org py rs rst sh tex txt xml yaml yml".split())
 MOST_BYTES, MOST_DEPTH = 32 << 20, 32
 
 
@@ -118,11 +118,17 @@ def workbooks(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(workbook_cells(F.col("content"))).alias("c")).select("path", "c.*")
 
 
-def label_groups(cells_: DataFrame, rows_least: int = 3, cols_least: int = 4) -> DataFrame:
-    """(path, sheet, kind, position, text): labels of each sheet, of rows with 3 or more, of columns with 4 or more."""
-    labels = cells_.filter(F.col("formula").isNull() & X.is_label(F.col("value"))).select("path", "sheet", "row", "col", F.trim("value").alias("v"))
-    one = lambda kind, pos, least: labels.groupBy("path", "sheet", pos.alias("position")).agg(F.array_sort(F.collect_list(F.struct("row", "col", "v"))).alias("x")).filter(F.size("x") >= least).select("path", "sheet", F.lit(kind).alias("kind"), "position", F.array_join(F.transform("x", lambda s: s["v"]), " ").alias("text"))
-    return one("sheet", F.lit(0).cast("long"), 1).unionByName(one("row", F.col("row"), rows_least)).unionByName(one("col", F.col("col"), cols_least))
+def label_groups(cells_: DataFrame, rows_least: int = 3, cols_least: int = 4, rows_most: int = 400, cols_most: int = 60, chars: int = 500) -> DataFrame:
+    """(path, sheet, kind, position, text): sheet names that are labels, and the labels of rows with 3 or more and of
+    columns with 4 or more, within a sheet's first rows and columns. Positions count from 0."""
+    labels = cells_.filter(F.col("formula").isNull() & X.is_label(F.col("value")) & (F.col("row") <= rows_most) & (F.col("col") <= cols_most)).select("path", "sheet", "row", "col", F.trim("value").alias("v"))
+    title = cells_.select("path", "sheet").distinct().filter(X.is_label(F.col("sheet"))).select("path", "sheet", F.lit("sheet").alias("kind"), F.lit(0).cast("long").alias("position"), F.trim("sheet").alias("text"))
+
+    def lines(kind: str, position: str, other: str, least: int) -> DataFrame:
+        g = labels.groupBy("path", "sheet", position).agg(F.array_sort(F.collect_list(F.struct(other, "v"))).alias("x")).filter(F.size("x") >= least)
+        return g.select("path", "sheet", F.lit(kind).alias("kind"), (F.col(position) - 1).alias("position"), F.substring(F.array_join(F.transform("x", lambda s: s["v"]), " | "), 1, chars).alias("text"))
+
+    return title.unionByName(lines("row", "row", "col", rows_least)).unionByName(lines("col", "col", "row", cols_least))
 
 
 def pair_lines(lines: DataFrame, low: int = 20, high: int = 400) -> DataFrame:

@@ -80,8 +80,8 @@ def test_rerank_keeps_missing_last(spark):
 
 def test_pooling(spark):
     df = spark.createDataFrame([([[1.0, 0.0], [3.0, 2.0]],)], "t array<array<double>>")
-    got = df.select(*[vectors.pool(F.col("t"), m).alias(m) for m in vectors.POOLS]).first()
-    assert got["mean"] == [2, 1] and got["max"] == [3, 2] and got["cls"] == [1, 0] and got["last"] == [3, 2] and got["concat"] == [1, 0, 2, 1] and got["weighted"] == pytest.approx([7 / 3, 4 / 3])
+    got = df.select(*[vectors.pool(F.col("t"), m, False).alias(m) for m in vectors.POOLS]).first()
+    assert got["mean"] == [2, 1] and got["max"] == [3, 2] and got["cls"] == [1, 0] and got["last"] == [3, 2] and got["concat"] == [1, 0, 3, 2] and got["weighted"] == pytest.approx([7 / 3, 4 / 3])
     z = spark.range(1).select(vectors.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))).alias("x")).first().x
     assert z == 0
 
