@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,10 +20,49 @@ def text_of(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 
+#: Called when a task of arrow_map ends: Python workers live on, and what an operator kept would be there in the next one's.
+AT_END: list[Callable[[], None]] = []
+#: Rows of an Arrow batch where the session names no number: documents are long.
+BATCH_ROWS = 1500
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow, with the package shipped to the workers first."""
-    ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    """mapInArrow, with the package shipped to the workers first; memory is given back when a task ends."""
+    spark = df.sparkSession
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # the default
+        spark.conf.set(name, BATCH_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    for end in AT_END:
+        end()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def hash_sample(df: DataFrame, most: int, *key: str) -> DataFrame:
+    """At most `most` rows, those of least hash of the key: the same ones however the rows are spread.
+
+    Rows are thinned by a bound on the hash first (to about twice as many), so that what tasks send on doesn't
+    grow with the table.
+    """
+    n = df.count()
+    h = F.xxhash64(*key)
+    if n > 2 * most:
+        df = df.filter(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 2 * most / n))
+    return df.orderBy(F.pmod(h, F.lit(1 << 40)), *key).limit(most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, join_small, pieces, text_of
+from ..operators.graph import components
+from .common import AT_END, arrow_map, cut, join_small, pieces, text_of
 
 U = np.uint64
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U)
@@ -47,13 +48,14 @@ def least(n):  # noqa: ANN001, ANN201
 class _Words(dict):
     def __missing__(self, w: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(w)
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[w] = h
         return h
 
 
 _WORDS = _Words()
+AT_END.append(_WORDS.clear)
 
 
 def shingles(text: str, n: int = 5) -> np.ndarray:
@@ -281,25 +283,6 @@ def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int, small: int)
         yield from ended()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component): the least id reachable over edges(a, b), by alternating large and small stars."""
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").filter("a <> b").distinct()
-        new = cut(small)
-        # stable when the edges are the same set: compare sizes and an order-free digest
-        sig = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        same = sig(new) == sig(e)
-        e = new
-        if same:
-            return e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
-    raise RuntimeError("components did not settle")
-
-
 def similar(docs: DataFrame, n: int = 5, percent: int = 80, small: int = 64, part: int = 4, run: int = 100_000, group_tokens: int = 250_000, partners: int = 32, hot_share: int = 1000, max_broadcast: int = 200_000) -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id for each row of docs(doc_id, text), doc_id an integer."""
     spark = docs.sparkSession

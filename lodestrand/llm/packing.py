@@ -28,18 +28,20 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, pieces, text_of
+from .common import AT_END, arrow_map, pieces, text_of
 
 SPECIAL = "<|endoftext|>"
 #: A space next to other white space: there the pieces between spaces aren't encoded independently.
 _RUN = re.compile(r" \s|\s ")
 _ENCODER: dict[tuple, Callable[[str], bytes]] = {}
+_CACHES: list[dict] = []
+AT_END.append(lambda: [c.clear() for c in _CACHES])
 
 
 class Cache(dict):
     """piece -> its ids as little-endian 32-bit bytes; forgets all when full, which only costs time."""
 
-    def __init__(self, encode: Callable[[str], list[int]], lead: str, most: int = 250_000):
+    def __init__(self, encode: Callable[[str], list[int]], lead: str, most: int = 200_000):
         super().__init__()
         self.encode, self.lead, self.most = encode, lead, most
 
@@ -65,7 +67,8 @@ def encoder(name: str = "byte_bpe_50k", folder: str | None = None) -> Callable[[
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         exact = Tokenizer.from_file(at(f"{name}.json"))
-        inner, first = Cache(fast, " "), Cache(fast, "")
+        inner, first = Cache(fast, " "), Cache(fast, "", 20_000)
+        _CACHES.extend([inner, first])
 
         def encode(text: str) -> bytes:
             if SPECIAL in text:

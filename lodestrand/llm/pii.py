@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pieces, text_of
+from .common import arrow_map, hash_sample, pieces, text_of
 from .nets import F32, Adam, lstm, lstm_back, uniform
 
 KINDS = ("email", "ip", "card", "phone")
@@ -326,8 +326,7 @@ def digest(spans: list[tuple[int, int, int]]) -> str:
 def sample_texts(docs: DataFrame, sample: int, sample_chars: int) -> list[str]:
     """At most `sample` texts with digits or at signs, by hash of the id."""
     src = docs.select("doc_id", text_of(docs).alias("text")).filter((F.length("text") <= sample_chars) & F.col("text").rlike("[0-9@]"))
-    rows = src.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", F.xxhash64("text")).limit(sample).select("h", "doc_id", "text").collect()
-    return [r[2] for r in rows]
+    return [r[0] for r in hash_sample(src, sample, "doc_id", "text").select("text").collect()]
 
 
 def find(docs: DataFrame, sample: int = 600, sample_chars: int = 8_000) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pieces, text_of
+from .common import arrow_map, hash_sample, pieces, text_of
 from .nets import F32, Adam, gru, gru_back, sigmoid, uniform
 
 #: Words and n-grams have log-odds by 20 bits of their hash, embeddings by fewer.
@@ -118,9 +118,9 @@ class Model:
             self.rows[at + i : at + i + len(x)] = x @ self.p["w"] + self.p["b"]
         return [np.fromiter(map(ids.__getitem__, words), np.int32, len(words)) for words in split]
 
-    def forget(self, most: int = 300_000) -> None:
+    def forget(self, most: int = 150_000) -> None:
         if len(self.ids) > most:
-            self.ids = {}
+            self.ids, self.rows = {}, np.zeros((1024, 6 * HIDDEN), F32)
 
     def windows(self, n: int) -> np.ndarray:
         """Starts of the windows of n words, each sharing OVERLAP words with the next, the last one reaching the end."""
@@ -282,7 +282,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, sample: int, sample_chars: i
     """At most `sample` rows of each label by hash of the id, of those that may be learnt from."""
     known = labels.filter("toxic is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    ids = known.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionByName(known.filter("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    ids = hash_sample(known.filter("toxic = 1"), sample, "doc_id").unionByName(hash_sample(known.filter("toxic = 0"), sample, "doc_id"))
     rows = docs.select("doc_id", text_of(docs).alias("text")).filter(F.length("text") <= sample_chars).join(F.broadcast(ids), "doc_id")  # 2 x sample ids at most
     rows = sorted((r[0], r[1], r[2]) for r in rows.select("doc_id", "text", "toxic").collect())
     return [r[1] for r in rows], [r[2] for r in rows]
@@ -301,13 +301,15 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
             if isinstance(m, float):
                 s = np.full(b.num_rows, m)
             else:
-                m.forget()
                 s = m.score(m.look_up(b.column("text").to_pylist()))
+                m.forget()
             cols = [b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))]
             names = ["doc_id", "held_out", "score", "predicted"]
             if keep:
                 cols, names = [b.column("row"), *cols[2:]], ["row", *names[2:]]
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        if isinstance(m, Model):
+            m.forget(0)
 
     if keep:
         return arrow_map(src, run, f"row {src.schema['row'].dataType.simpleString()}, score double, predicted int").select("row.*", "score", "predicted")
