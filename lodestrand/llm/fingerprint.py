@@ -8,7 +8,8 @@ features is closed and chained to a new one. Two digests are compared filter by
 they have in common, beyond what chance gives filters of so many bits, normalised to 0..1; each
 filter of the shorter digest counts with its best partner.
 
-Texts shorter than a window, or without an eligible window, use one feature, the text itself.
+Texts of under 1024 bytes have features of a smaller size, as they'd have few of the other. Texts shorter than
+a window, or without an eligible window, use one feature, the text itself.
 
 Defined results: null texts are empty; the empty text has the digest of no filters, like only to
 itself; equal texts have equal digests and likeness 1; ties of rank go to the leftmost window; repeated rows and
@@ -31,40 +32,41 @@ from pyspark.sql import functions as F
 from .common import arrow_map, text_of
 
 WINDOW, NEAR, POPULAR, FULL, BITS, HASHES = 64, 64, 16, 160, 2048, 5
+#: Texts of fewer bytes have too few features of that size: theirs are of 16 bytes in runs of 8.
+SHORT, SMALL = 1024, (16, 8, 2)
 #: c log2 c for counts in a window, in units of 2**-12, so that sums are exact
 _CLOG = np.array([0] + [round(c * math.log2(c) * 4096) for c in range(1, WINDOW + 1)], np.int32)
 _DIFF = np.diff(_CLOG, append=_CLOG[-1:])
-_TOP = int(_CLOG[WINDOW])
 _MIX = (np.arange(1, WINDOW + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def _ranks() -> np.ndarray:
-    """Rank by entropy class (1000 classes from 0 to 6 bits): improbable ones first; 1000 is never chosen.
+def _ranks(window: int, usual: float) -> np.ndarray:
+    """Rank by entropy class (1000 classes from 0 to log2(window) bits): improbable ones first; 1000 is never chosen.
 
-    Windows under 1.5 bits (runs, rulers) and near the top (random bytes) make weak features. Between,
-    the further from the usual entropy of text (about 4.2 bits) the less probable the window.
+    Nearly constant windows (runs, rulers), and with large windows those near the top (random bytes), make weak
+    features. Between, the further from the usual entropy of text the less probable the window.
     """
-    h = np.arange(1001) / 1000 * 6
-    rank = np.round(999 * np.exp(-(((h - 4.2) / 0.9) ** 2))).astype(np.int32)
-    rank[(h < 1.5) | (h > 5.9)] = 1000
+    h = np.arange(1001) / 1000
+    rank = np.round(999 * np.exp(-(((h - usual) / 0.15) ** 2))).astype(np.int32)
+    rank[(h < 0.25) | (h > (0.98 if window > 16 else 1))] = 1000
     return rank
 
 
-RANK = _ranks()
+RANKS = {WINDOW: _ranks(WINDOW, 0.7), SMALL[0]: _ranks(SMALL[0], 0.82)}
 
 
-def _equal_near(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte, how many of the 63 bytes before it and of the 63 after it are equal to it."""
+def _equal_near(t: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte, how many of the window - 1 bytes before it, and after it, are equal to it."""
     n = len(t)
     order = np.argsort(t, kind="stable")
     # places, with a gap of a window between byte values, ascend; so equal bytes nearby are neighbours
-    place = (order + t[order].astype(np.int64) * (n + WINDOW)).astype(np.int64 if n > 1 << 22 else np.int32)
+    place = (order + t[order].astype(np.int64) * (n + window)).astype(np.int64 if n > 1 << 22 else np.int32)
     if n < 2000:
-        count = np.arange(n) - np.searchsorted(place, place - (WINDOW - 1))
+        count = np.arange(n) - np.searchsorted(place, place - (window - 1))
     else:
         count = np.zeros(n, np.int32)
-        for d in range(1, WINDOW):
-            hit = place[d:] - place[:-d] < WINDOW
+        for d in range(1, window):
+            hit = place[d:] - place[:-d] < window
             if not hit.any():
                 break
             count[d:] += hit
@@ -75,59 +77,61 @@ def _equal_near(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, after
 
 
-def entropies(t: np.ndarray) -> np.ndarray:
+def entropies(t: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Sum of c log2 c over the byte counts of each window, in units of 2**-12; less is more entropy."""
     n = len(t)
-    before, after = _equal_near(t)
-    first = int(_CLOG[np.bincount(t[:WINDOW], minlength=256)].sum())
-    # window i+1 loses byte i, of which it had after[i]+1, and gains byte i+64, of which it has before[i+64]
-    step = _DIFF[before[WINDOW:]] - _DIFF[after[: n - WINDOW]]
+    before, after = _equal_near(t, window)
+    first = int(_CLOG[np.bincount(t[:window], minlength=256)].sum())
+    # window i+1 loses byte i, of which it had after[i]+1, and gains byte i+window, of which it has before[i+window]
+    step = _DIFF[before[window:]] - _DIFF[after[: n - window]]
     return np.concatenate([[first], first + np.cumsum(step)])
 
 
-def _popular(rank: np.ndarray) -> np.ndarray:
-    """Starts of windows that hold the lowest rank, leftmost, in POPULAR or more runs of NEAR windows."""
+def _popular(rank: np.ndarray, near: int, popular: int) -> np.ndarray:
+    """Starts of windows that hold the lowest rank, leftmost, in `popular` or more runs of `near` windows, a power of two."""
     m = len(rank)
-    if m < NEAR:
+    if m < near:
         i = int(np.argmin(rank))
         return np.array([i] if rank[i] < 1000 else [], np.int64)
     key = rank.astype(np.int64) * (1 << 32) + np.arange(m)
     w = 1
-    while w < NEAR:  # minimum over runs of 2, 4, ... 64
+    while w < near:  # minimum over runs of 2, 4, ...
         key = np.minimum(key[:-w], key[w:])
         w *= 2
     key = key[key < 1000 << 32]
     at = key & 0xFFFFFFFF
     new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
     count = np.diff(np.append(new, len(at)))
-    return at[new][count >= POPULAR]
+    return at[new][count >= popular]
 
 
-def places(t: np.ndarray, a: int, b: int) -> np.ndarray:
+def places(t: np.ndarray, a: int, b: int, scale: tuple[int, int, int] = (WINDOW, NEAR, POPULAR)) -> np.ndarray:
     """Starts in [a, b) of improbable features; what is further than a run and a window away has no part in it."""
-    n = len(t) - WINDOW + 1
-    lo, hi = max(0, min(a - NEAR, n - NEAR)), min(n, max(b + NEAR, NEAR))
-    e = entropies(t[lo : hi + WINDOW - 1])
-    at = _popular(RANK[np.clip((_TOP - e) * 1000 // _TOP, 0, 1000)]) + lo
+    window, near, popular = scale
+    n = len(t) - window + 1
+    lo, hi = max(0, min(a - near, n - near)), min(n, max(b + near, near))
+    e, top = entropies(t[lo : hi + window - 1], window), int(_CLOG[window])
+    at = _popular(RANKS[window][np.clip((top - e) * 1000 // top, 0, 1000)], near, popular) + lo
     return at[(at >= a) & (at < b)]
 
 
-def _hashes(t: np.ndarray, at: np.ndarray) -> np.ndarray:
-    h = ((t[at[:, None] + np.arange(WINDOW)].astype(np.uint64) + np.uint64(1)) * _MIX).sum(axis=1, dtype=np.uint64)
+def _hashes(t: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    h = ((t[at[:, None] + np.arange(window)].astype(np.uint64) + np.uint64(1)) * _MIX[:window]).sum(axis=1, dtype=np.uint64)
     for shift, mul in ((29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB)):
         h ^= h >> np.uint64(shift)
         h *= np.uint64(mul)
     return h ^ (h >> np.uint64(31))
 
 
-def located(data: bytes, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and 64-bit hashes of a text's improbable features, in order; none for texts that are one feature."""
+def located(data: bytes, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Starts and 64-bit hashes of a text's improbable features, in order, and whether they are of the large size."""
     t = np.frombuffer(data, np.uint8)
-    n = len(t) - WINDOW + 1
-    parts = [(at, _hashes(t, at)) for a in range(0, n, block) for at in [places(t, a, min(n, a + block))]]
+    scale = SMALL if len(t) < SHORT else (WINDOW, NEAR, POPULAR)
+    n = len(t) - scale[0] + 1
+    parts = [(at, _hashes(t, at, scale[0])) for a in range(0, n, block) for at in [places(t, a, min(n, a + block), scale)]]
     if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*parts))
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), False
+    return *(np.concatenate(x) for x in zip(*parts)), len(t) >= SHORT
 
 
 def _whole(data: bytes, h: np.ndarray) -> np.ndarray:
@@ -139,7 +143,7 @@ def features(data: bytes) -> np.ndarray:
     return _whole(data, located(data)[1])
 
 
-def spliced(data: bytes, cut: int, mine: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def spliced(data: bytes, cut: int, mine: tuple[np.ndarray, np.ndarray, bool], other: tuple[np.ndarray, np.ndarray, bool]) -> np.ndarray:
     """features(data), where data is the first `cut` bytes of a text and then the first bytes of another.
 
     Features far enough from the cut and the end are those of the two texts; the others are found anew.
@@ -147,9 +151,9 @@ def spliced(data: bytes, cut: int, mine: tuple[np.ndarray, np.ndarray], other: t
     t = np.frombuffer(data, np.uint8)
     n, far = len(t) - WINDOW + 1, WINDOW + NEAR
     left, right, stop = cut - far, cut + NEAR, len(t) - far
-    if left <= 0 or n < far or right >= stop:
+    if left <= 0 or n < far or right >= stop or len(t) < SHORT or not (mine[2] and other[2]):
         return features(data)
-    (p, h), (q, g) = mine, other
+    (p, h, _), (q, g, _) = mine, other
     keep, use = p < left, (q >= NEAR) & (q < stop - cut)
     a, b = places(t, left, right), places(t, stop, n)
     return _whole(data, np.concatenate([h[keep], _hashes(t, a), g[use], _hashes(t, b)]))
@@ -296,8 +300,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
         def read(x: str) -> tuple:
             data = x.encode("utf-8", "surrogatepass")
-            at, h = located(data)
-            return x, (at, h), filters(_whole(data, h))
+            found = located(data)
+            return x, found, filters(_whole(data, found[1]))
 
         for doc_id, text, other in _pairs(batches):
             if known[0] != text:
