@@ -144,3 +144,12 @@ def cited_often(contexts: DataFrame, least: int = 3, most: int = 6) -> DataFrame
 
     works = contexts.groupBy("work").count().filter(F.col("count") >= least).select("work")
     return at_most(contexts.join(works, "work", "left_semi"), "work", [F.col("text")], most)
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    """Judged edges, one JSON object a line: a, b, distance, subjects."""
+    return spark.read.schema("a long, b long, distance int, subjects array<string>").json(path)
+
+
+def write_themes(themes: DataFrame, path: str) -> None:
+    themes.write.mode("overwrite").json(path)

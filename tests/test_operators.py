@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.index import Index
-from lodestrand.operators import corpus, evaluate, graph, retrieve, scan, vectors
+from lodestrand.operators import corpus, evaluate, graph, models, retrieve, scan, vectors
 from lodestrand.sources import files, store
 from lodestrand.streaming import ingest
 
@@ -171,3 +171,35 @@ def test_streaming_once_each(spark, tmp_path):
     q = ingest.append(ingest.once_each(ingest.arriving(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_models_plug_in(spark, tmp_path):
+    e = models.HashEmbedder(16)
+    para = "ships and weather at sea, paragraph number "
+    rows = [("a", i, 0, 60, bytearray((para + str(i)).encode()), para + str(i)) for i in range(6)]
+    paras = spark.createDataFrame(rows, "path string, para long, off long, len long, bytes binary, text string")
+    records, side, about = models.semantic_records(paras, e)
+    assert records.count() == side.count() == 6 and about["model"] == "hash-16" and records.filter("lsh0 is null").count() == 0
+    texts = paras.select(F.sha2("text", 256).alias("hash"), "text")
+    cache = texts.limit(2).select("hash", F.lit(e.name).alias("model"), F.array_repeat(F.lit(9.0), 16).alias("vec"))
+    got = models.fill_cache(texts, cache, e).collect()
+    assert len(got) == 6 and sum(r.vec[0] == 9.0 for r in got) == 2 and all(len(r.vec) == 16 for r in got)
+
+    class Short(models.HashEmbedder):
+        def embed_batch(self, texts):
+            return super().embed_batch(texts)[1:]
+
+    with pytest.raises(Exception, match="vectors"):
+        texts.select(models.embedded(F.col("text"), Short(4))).collect()
+    pairs = spark.createDataFrame([(0, 1, 3, "weather and harbours", "harbours in weather"), (0, 2, 4, "weather", "war")], "a long, b long, distance int, text_a string, text_b string")
+    edges = graph.judged_edges(pairs, models.keyword_judge())
+    assert [r.subjects for r in edges.collect()] == [["harbours", "weather"]]
+    assert graph.judged_edges(pairs, models.answering_judge(lambda a, b: "SHARED: Sea" if "harbours" in b else "SHARED: none")).count() == 1
+    named = models.generated_themes(graph.subject_groups(edges), lambda s: " Sea | " + ", ".join(s), batch=1)
+    assert sorted((r.name, r.subjects) for r in named.collect()) == [("sea", ["harbours"]), ("sea", ["weather"])]
+    files.write_themes(graph.themes(graph.subject_groups(edges), named), str(tmp_path / "t"))
+    assert spark.read.json(str(tmp_path / "t")).first()["size"] == 2
+    edges.write.json(str(tmp_path / "e"))
+    assert files.read_edges(spark, str(tmp_path / "e")).first().b == 1
+    assert models.where(paras, lambda p: p["para"] > 3, ["para"]).count() == 2
+    assert paras.select(models.summarised(F.col("text"), str.upper).alias("x")).first().x == (para + "0").upper()
