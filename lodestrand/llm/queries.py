@@ -56,5 +56,24 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c WHERE 100 * k >= 80 * (na + nb - k)),
+reach(x, y) AS (SELECT a, b FROM e UNION SELECT r.x, e.b FROM reach r JOIN e ON r.y = e.a),
+comp AS (SELECT x, least(x, min(y)) AS component FROM reach GROUP BY x),
+deg AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(deg.n, 0)::BIGINT AS n_similar, coalesce(comp.component, s.doc_id) AS component_id FROM s LEFT JOIN deg ON deg.a = s.doc_id LEFT JOIN comp ON comp.x = s.doc_id"""
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+_BASE32 = " || ".join(f"substr({_LETTERS}, 1 + (v[{c}] >> {shift} & 31), 1)" for c in range(1, 9) for shift in (15, 10, 5, 0))
+_WARC = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+d AS (SELECT h, first, list_transform(range(8), lambda i: ('0x' || substr(sha1(h), 5 * i + 1, 5))::INTEGER) AS v FROM f)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN d USING (h)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those that SQL can say; the others are tested against brute force."""
+    return {"op6_jaccard": _JACCARD, "op8_warc": _WARC}
