@@ -186,12 +186,13 @@ def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 8,
         return float(y.max()) if len(y) else 0.0
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
-    docs = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in t.split()], np.int64) for t in texts]
+    docs = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in t.split()], np.int32) for t in texts]
     word, gram = buckets(["", *vocab])
+    gram = gram.astype(np.int32)
     prior = y.mean()
 
     # log-odds of buckets over documents, each of which counts once; own: those of other documents than one of that label
-    def odds(present: list[np.ndarray], size: int) -> list[np.ndarray]:
+    def odds(present: Iterator[np.ndarray], size: int) -> list[np.ndarray]:
         c = np.zeros((2, size))
         for b, k in zip(present, y):
             c[k][b] += 1
@@ -206,8 +207,8 @@ def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 8,
         return out
 
     present = [np.unique(d) for d in docs]
-    wo = odds([np.unique(word[d]) for d in present], HINTS)
-    go = odds([np.unique(gram[d]) for d in present], HINTS + 1)
+    wo = odds((np.unique(word[d]) for d in present), HINTS)
+    go = odds((np.unique(gram[d]) for d in present), HINTS + 1)
     for g in go:
         g[HINTS] = -3
     p = {
@@ -221,10 +222,10 @@ def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 8,
     model = Model(p, width)
 
     starts = [model.windows(len(d)) for d in docs]
-    padded = [np.concatenate([d, np.zeros(width, np.int64)]) for d in docs]
+    padded = [np.concatenate([d, np.zeros(width, np.int32)]) for d in docs]
     all_ids = np.concatenate([padded[i][s[:, None] + np.arange(width)] for i, s in enumerate(starts)])
     owner = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
-    hint = [np.maximum(wo[k][word], go[k][gram].max(axis=1)) for k in (0, 1)]
+    hint = [np.maximum(wo[k][word], np.concatenate([go[k][gram[a : a + 20_000]].max(axis=1) for a in range(0, len(gram), 20_000)])) for k in (0, 1)]
     rank = np.where(y[owner][:, None] == 1, hint[1][all_ids], hint[0][all_ids]).max(axis=1)
 
     def choose(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +241,7 @@ def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 8,
 
     def project(ids: np.ndarray, label: np.ndarray) -> tuple:
         """Words that occur under either label, where each occurs among them, their inputs and projected inputs."""
-        both = ids + label[:, None] * len(word)
+        both = ids.astype(np.int64) + label[:, None] * len(word)
         u, back = np.unique(both, return_inverse=True)
         k, w = u // len(word), u % len(word)
         x, count = inputs(p, word[w], gram[w], (wo[2], go[2]))
@@ -288,7 +289,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, sample: int, sample_chars: i
     return [r[1] for r in rows], [r[2] for r in rows]
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 2500, sample_chars: int = 20_000, width: int = 32, keep: bool = False) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 1500, sample_chars: int = 20_000, width: int = 32, keep: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs(doc_id, text); keep: with all columns of docs."""
     model = train(*sample_rows(docs, labels, sample, sample_chars), width=width)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: the embeddings' tables and the weights
