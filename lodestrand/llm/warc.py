@@ -138,7 +138,7 @@ def _ranges(pages: DataFrame, per_range: int, bins: int = 4096) -> list:
     return bounds
 
 
-def write(pages: DataFrame, out: str, per_range: int = 4096, roll_bytes: int = 256 << 20, level: int = 1, min_revisit: int = 0) -> str:
+def write(pages: DataFrame, out: str, per_range: int = 8192, roll_bytes: int = 256 << 20, level: int = 4, min_revisit: int = 0) -> str:
     """Write pages(page_id, url, html) as archives under `out`; returns the manifest's path."""
     spark = pages.sparkSession
     kind = dict(pages.dtypes)["page_id"]
