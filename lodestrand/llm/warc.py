@@ -150,7 +150,7 @@ def write(pages: DataFrame, out: str, per_range: int = 8192, roll_bytes: int = 2
     slot = F.coalesce(F.expr(f"array_size(filter(array({','.join(f'{b}L' for b in bounds) or 'cast(null as bigint)'}), b -> b <= page_id))"), F.lit(-1)) if len(bounds) < 50 else F.coalesce(_slot(bounds)(F.col("page_id")), F.lit(-1))
     rows = join_small(src, firsts, ["sha"], "left").withColumn("slot", slot.cast("int"))
     n = min(len(bounds) + 2, 100_000)  # a task for each range or two: tasks don't grow with the input
-    rows = rows.repartition(n, "slot").sortWithinPartitions("slot", "page_id", "url", "sha").select("slot", "page_id", "url", "html", "sha", "first")
+    rows = rows.repartitionById(n, F.col("slot") + 1).sortWithinPartitions("slot", "page_id", "url", "sha").select("slot", "page_id", "url", "html", "sha", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot_now, part, f, name, temp = None, 0, None, "", ""
