@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word's input is its hashed embedding and the mean of its hashed character n-gram embeddings, so that
-unseen forms of a known stem are known in part. Windows of `width` words, each overlapping the next, are read in both directions; attention pools the states into one logit. A document's score is the
+unseen forms of a known stem are known in part. A word of more than LONG bytes is cut at its signs, and what is
+still longer into pieces that overlap; each is an input like a word, so that every letter is read. Windows of `width` words, each overlapping the next, are read in both directions; attention pools the states into one logit. A document's score is the
 greatest of all its windows'.
 
 Labels are of documents, so training chooses windows: of a toxic document those that score highest, of a clean one
@@ -20,6 +21,7 @@ table gives no rows.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +41,46 @@ _PLAIN = re.compile(r"[\W_]+")
 _POWER = np.array([pow(0x9E3779B1, i, 1 << 32) for i in range(6)], np.uint32)
 
 
+def _cut(word: str) -> list[str]:
+    """The word, or if it has more than LONG bytes its runs between signs, and of longer runs pieces that overlap by about half."""
+    low = word.lower()
+    if len(_PLAIN.sub("", low).encode("utf-8", "surrogatepass")) <= LONG:
+        return [word]
+    if not low.isascii():  # vowel and tone marks are stripped as ever, but don't part a word
+        low = "".join(c for c in low if unicodedata.category(c)[0] != "M")
+    out = []
+    for run in _PLAIN.split(low):
+        raw = run.encode("utf-8", "surrogatepass")
+        a = 0
+        while len(raw) - a > LONG:
+            b, step = a + LONG, a + LONG // 2
+            while raw[b] & 0xC0 == 0x80:  # not within a character
+                b -= 1
+            while raw[step] & 0xC0 == 0x80:
+                step -= 1
+            out.append(raw[a:b].decode("utf-8", "surrogatepass"))
+            a = step
+        if raw:
+            out.append(raw[a:].decode("utf-8", "surrogatepass"))
+    return out
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, long ones in pieces."""
+    words = text.split()
+    if all(len(w) <= LONG // 4 or (len(w) <= LONG and w.isascii()) for w in words):
+        return words
+    return [x for w in words for x in ((w,) if len(w) <= LONG // 4 or (len(w) <= LONG and w.isascii()) else _cut(w))]
+
+
 def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets (of HINTS) of words, and of their character n-grams (3 to 5, ends marked), padded with HINTS.
 
-    Case and signs don't count. Of a word of more than LONG bytes, its start and its end are read.
+    Case and signs don't count. Words are those of words_of, of LONG bytes at most.
     """
     plain = [w if w.isalnum() else _PLAIN.sub("", w) for w in map(str.lower, words)]
     raw = [w.encode("utf-8", "surrogatepass") for w in plain]
-    raw = [b"^%b$" % (w if len(w) <= LONG else w[: LONG // 2] + w[-(LONG // 2) :]) for w in raw]
+    raw = [b"^%b$" % w for w in raw]
     n = len(raw)
     size = np.fromiter(map(len, raw), np.int64, n)
     wide = max(5, int(size.max()))
@@ -106,7 +140,7 @@ class Model:
     def look_up(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of the texts' words; 0 is padding."""
         ids = self.ids
-        split = [t.split() for t in texts]
+        split = [words_of(t) for t in texts]
         new = sorted({w for words in split for w in words if w not in ids}, key=len)  # by length, so that n-gram tables are narrow
         at = len(ids) + 1
         for i, w in enumerate(new):
@@ -186,7 +220,7 @@ def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 8,
         return float(y.max()) if len(y) else 0.0
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
-    docs = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in t.split()], np.int32) for t in texts]
+    docs = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in words_of(t)], np.int32) for t in texts]
     word, gram = buckets(["", *vocab])
     gram = gram.astype(np.int32)
     prior = y.mean()
