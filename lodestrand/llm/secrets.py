@@ -3,9 +3,12 @@
 A candidate is a run of 16 or more characters of key alphabets with letters and digits. Its novelty is the number
 of bytes by which it lengthens its surroundings when both are compressed with zstandard primed
 with a dictionary of code and identifiers: text that the dictionary or the surroundings know costs
-next to nothing, random strings cost about log2(alphabet)/8 bytes a character. A candidate in a sensitive
-context (a word such as key, secret, auth or credential shortly before it) whose novelty a character
-is above `min_novelty` is reported as kind `novel`. Spans of the base patterns always stay.
+next to nothing, random strings cost about log2(alphabet)/8 bytes a character. Other copies of the candidate
+are taken out of its surroundings first. A candidate in a sensitive context (a word such as key, secret, auth or
+credential shortly before or behind it, or in the name it is assigned to) whose novelty a character is above
+`min_novelty` is reported as kind `novel`. Candidates with nothing but space and signs between them (lines of a PEM key,
+the parts of a dotted token) are one block and share their context; a short last line of a PEM key goes
+with the line before it. Spans of the base patterns always stay.
 
 Defined results: null and empty texts have no spans; equal texts have equal spans; ties are ordered by
 start, then kind; an empty table gives no rows; texts are scanned whole, whatever their length.
@@ -30,6 +33,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 CONTEXT = re.compile(r"key|secret|token|passw|passphrase|credential|auth|bearer|private|signature|akia|cookie|session", re.I | re.A)
+#: What may lie between candidates of one block, and the short last line of a PEM key.
+JOIN = re.compile(r"""[\s.,;:|"'\\>#*]{1,40}""")
+TAIL = re.compile(r"[\s\\>]{1,40}([A-Za-z0-9+/]{1,15}={0,2})[\s\\>]{1,40}n?-----END", re.A)
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 IDENTIFIERS = """
@@ -64,6 +70,36 @@ def novelty(before: str, candidate: str, after: str, level: int = 3, dictionary:
     return (len(c.compress(known + candidate.encode("utf-8", "replace"))) - len(c.compress(known))) / max(1, len(candidate))
 
 
+def _value(s: str) -> str:
+    """What a candidate of the form name=value assigns, or all of it."""
+    v = s[s.rstrip("=").rfind("=") + 1 :]
+    return v if len(v) >= 8 else s
+
+
+def _others(text: str, s: str) -> str:
+    """A candidate's surroundings without copies of it or of its value, and without runs that are parts of it."""
+    for x in (s, _value(s)):
+        text = text.replace(x, " ")
+    return CANDIDATE.sub(lambda m: " " if m.group() in s else m.group(), text)
+
+
+def _blocks(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Candidates, those that adjoin each other together."""
+    block: list[tuple[int, int]] = []
+    for m in CANDIDATE.finditer(text):
+        s = m.group()
+        if not any(x.isdigit() for x in s) and (s.islower() or s.isupper() or not s.isalnum()):
+            continue
+        if not any(x.isalpha() for x in s):
+            continue
+        if block and not JOIN.fullmatch(text, block[-1][1], m.start()):
+            yield block
+            block = []
+        block.append(m.span())
+    if block:
+        yield block
+
+
 def scan(text: str, window: int = 160, reach: int = 48, min_novelty: float = 0.5, level: int = 3, dictionary: str = IDENTIFIERS) -> list[tuple[int, int, int]]:
     """(start, kind's index, end) of every span, sorted."""
     spans: list[tuple[int, int, int]] = []
@@ -73,13 +109,19 @@ def scan(text: str, window: int = 160, reach: int = 48, min_novelty: float = 0.5
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        s = m.group()
-        if not any(x.isdigit() for x in s) or not any(x.isalpha() for x in s) or not CONTEXT.search(text, max(0, a - reach), a):
+    for block in _blocks(text):
+        if not any(CONTEXT.search(text, max(0, a - reach), b - len(_value(text[a:b]))) or CONTEXT.search(text, b, b + reach) for a, b in block):
+            continue
+        if not any(x.isdigit() for a, b in block for x in text[a:b]):  # letters alone count beside digits
             continue
-        if novelty(text[max(0, a - window) : a], s, text[b : b + window], level, dictionary) >= min_novelty:
-            spans.append((a, 3, b))
+        for a, b in block:
+            s = text[a:b]
+            before, after = _others(text[max(0, a - window - len(s)) : a], s), _others(text[b : b + window + len(s)], s)
+            known = novelty(before[-window:], s, after[:window], level, dictionary) >= min_novelty
+            if known:
+                spans.append((a, 3, b))
+        if known and (m := TAIL.match(text, b)):
+            spans.append((m.start(1), 3, m.end(1)))
     return sorted(spans)
 
 
