@@ -5,11 +5,12 @@ labelled spans: what the base patterns find in a bounded sample of documents, an
 with the same kinds in forms that the patterns miss (spaced or spelled-out addresses, national numbers, cards
 with other signs). Texts are cut into overlapping windows; each window is decoded by Viterbi's
 algorithm, and the decodings are reconciled over the whole text: of two windows, each position
-belongs to the one in whose middle it lies, and a span is taken from the window that owns its
-start. Base spans always stay; a decoded span is added where it overlaps none and has the digits of its kind.
+belongs to the one in whose middle it lies, and spans are read from the labels so joined, over the windows'
+bounds. Base spans always stay; a decoded span is added where it overlaps none and has the digits of its kind.
 
-Every kind needs a digit or an at sign. A span without either is never kept, so a window without
-either can't add any, and isn't run through the network: the result is the same.
+Every kind needs a digit or an at sign. A span without either is never kept, so windows are run through
+the network where one lies, and then those on either side as far as a span goes on: the result is that of running
+all windows.
 
 Training takes at most `sample` documents by hash of the id (of texts up to `sample_chars` characters), on
 the driver; every text is searched whole. Defined results: null and empty texts have no spans; equal texts
@@ -271,36 +272,40 @@ def plausible(kind: int, s: str) -> bool:
 def decoded(model: Model, texts: list[str], batch: int = 1024) -> list[list[tuple[int, int, int]]]:
     """Spans found by the network in each text, reconciled over its windows."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    where, windows = [], []
+    step, half = WIDTH - SHARE, SHARE // 2
+    known: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}  # padded codes, joined labels, last window
+    todo, seen = [], set()
+
+    def ask(d: int, k: int) -> None:
+        if 0 <= k <= known[d][2] and (d, k) not in seen:
+            seen.add((d, k))
+            todo.append((d, k))
+
     for d, t in enumerate(texts):
-        if not _SIGN.search(t):
-            continue
-        starts = window_starts(len(t))
-        step, hits = WIDTH - SHARE, set()
         for m in _SIGN.finditer(t):
-            k = min(m.start() // step, len(starts) - 1)
-            hits.add(k)
-            if k and m.start() - (k - 1) * step < WIDTH:
-                hits.add(k - 1)
-        c = np.pad(codes(t), (0, WIDTH), constant_values=32)
-        for k in sorted(hits):
-            where.append((d, starts[k], k == 0, k == len(starts) - 1))
-            windows.append(c[starts[k] : starts[k] + WIDTH])
-    for a in range(0, len(windows), batch):
-        y = model.decode(np.array(windows[a : a + batch]))
+            if d not in known:
+                known[d] = np.pad(codes(t), (0, WIDTH), constant_values=32), np.zeros(len(t) + WIDTH, np.int8), len(window_starts(len(t))) - 1
+            ask(d, min(max(0, (m.start() - half) // step), known[d][2]))  # the window that owns the place
+    while todo:
+        now, todo = todo[:batch], todo[batch:]
+        y = model.decode(np.array([known[d][0][k * step : k * step + WIDTH] for d, k in now]))
         for row in np.flatnonzero(y.any(axis=1)):
-            d, start, first, last = where[a + row]
-            n = len(texts[d])
+            d, k = now[row]
+            _, joined, end = known[d]
             # the window's own part: from the middle of what it shares with one neighbour to that with the other
-            lo, hi = (0 if first else SHARE // 2), (WIDTH if last else WIDTH - SHARE // 2)
-            labels = y[row]
-            for i in np.flatnonzero(labels % 2 == 1):
-                if lo <= i < hi:
-                    j = i + 1
-                    while j < WIDTH and labels[j] == labels[i] + 1:
-                        j += 1
-                    if j < WIDTH or last:
-                        out[d].append(((int(labels[i]) - 1) // 2, start + int(i), min(n, start + j)))
+            lo, hi = (0 if k == 0 else half), (WIDTH if k == end else WIDTH - half)
+            joined[k * step + lo : k * step + hi] = y[row, lo:hi]
+            if y[row, lo] and y[row, lo] % 2 == 0:  # within a span: it began before
+                ask(d, k - 1)
+            if y[row, hi - 1]:
+                ask(d, k + 1)
+    for d, (_, joined, _) in known.items():
+        n = len(texts[d])
+        for i in np.flatnonzero(joined[:n] % 2 == 1):
+            j = int(i) + 1
+            while j < n and joined[j] == joined[i] + 1:
+                j += 1
+            out[d].append(((int(joined[i]) - 1) // 2, int(i), j))
     return out
 
 
