@@ -8,9 +8,9 @@ algorithm, and the decodings are reconciled over the whole text: of two windows,
 belongs to the one in whose middle it lies, and spans are read from the labels so joined, over the windows'
 bounds. Base spans always stay; a decoded span is added where it overlaps none and has the digits of its kind.
 
-Every kind needs a digit or an at sign. A span without either is never kept, so windows are run through
-the network where one lies, and then those on either side as far as a span goes on: the result is that of running
-all windows.
+Every kind needs a digit or an at sign, or for an email that the sign is spelled out (_AT). A span without these is
+never kept, so windows are run through the network where one of these lies, and then those on either side
+as far as a span goes on: the result is that of running all windows.
 
 Training takes at most `sample` documents by hash of the id (of texts up to `sample_chars` characters), on
 the driver; every text is searched whole. Defined results: null and empty texts have no spans; equal texts
@@ -40,6 +40,9 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
+#: An at sign spelled out, as a word of its own: 'jane (at) example.org', 'jane AT example dot com'.
+_AT = re.compile(r"\uff20|(?<![^\W\d_])(?:at|arroba|\u00e4t)(?![^\W\d_])", re.I)
+_DOT = re.compile(r"[.\uff0e](?=[^\W_])|(?<=\s)[.\uff0e]|(?<![^\W\d_])(?:dot|punto|punkt|point)(?![^\W\d_])", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -95,8 +98,11 @@ def codes(text: str) -> np.ndarray:
     return out
 
 
-def made_up(rng: np.random.Generator, n: int) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
-    """Sentences with labelled spans in many forms, and others with numbers that are none of the kinds."""
+def made_up(rng: np.random.Generator, n: int, spelled: bool = False) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
+    """Sentences with labelled spans in many forms, and others with numbers that are none of the kinds.
+
+    spelled: all spans are emails whose at sign is spelled out, among prose that has the word `at` as well.
+    """
     words = "the of and to in is on for with er ing tion that was are from le des que und der das los por para call mail write pay with number host server contact me at or id ref order page about".split()
     pick = lambda x: x[int(rng.integers(len(x)))]
     num = lambda k: "".join(str(int(rng.integers(10))) for _ in range(k))
@@ -122,8 +128,35 @@ def made_up(rng: np.random.Generator, n: int) -> tuple[list[str], list[list[tupl
     def other() -> str:
         return pick([num(int(rng.integers(1, 7))), num(4) + "-" + num(2) + "-" + num(2), num(2) + ":" + num(2), num(1) + "." + num(2), "$" + num(3) + "." + num(2), num(16), num(20), "".join(pick("0123456789abcdef") for _ in range(40)), f"v{num(1)}.{num(1)}.{num(2)}", f"{num(1)},{num(3)},{num(3)}", f"@{pick(words)}", f"{pick(words)}{num(2)}", f"token = {num(3)}ab{num(5)}"])
 
+    part = lambda: "".join(pick("bcdfghjklmnprstvwz") + pick("aeiou") + pick(["", "", pick("lnrst")]) for _ in range(int(rng.integers(1, 4))))
+
+    def spelled_out() -> str:
+        at = pick([" (at) ", "(at)", " [at] ", "[at]", " at ", " AT ", " (AT) ", "_at_", " <at> ", " {at} "])
+        dot = pick([".", ".", " dot ", " [dot] ", " (dot) ", "[.]", " DOT ", "(dot)"])
+        if at in (" at ", " AT "):
+            dot = pick([".", " dot ", " [dot] ", " DOT "])
+        name = pick([part(), pick(words)]) + pick(["", pick([".", "_", "-"]) + pick([part(), pick(words)])])
+        if dot != "." and rng.random() < 0.3:
+            name = name.replace(".", dot)
+        host = pick([part(), part() + part(), "example", "mail", pick(words), part() + "-" + part()])
+        return name + at + dot.join([*([part()] if rng.random() < 0.25 else []), host, pick(["com", "org", "net", "de", "edu", "info", "co.uk".replace(".", dot)])])
+
+    def prose() -> str:
+        return pick([part(), f"at {part()}", f"at the {part()}", f"{part()} at {pick(words)}. {part()}", f"looked at {part()}. The", f"{part()}.", f"the dot on {part()}", f"{part()} at home.", f"at {part()}.{part()}"[:12], f"(at {part()})", f"Meet at {part()}, {part()}"])
+
     texts, spans = [], []
-    for _ in range(n):
+    for _ in range(n if spelled else 0):
+        t, s = "", []
+        for _ in range(int(rng.integers(6, 24))):
+            if rng.random() < 0.15:
+                x = spelled_out()
+                s.append((0, len(t), len(t) + len(x)))
+            else:
+                x = prose() if rng.random() < 0.4 else pick(words)
+            t += x + pick([" ", " ", " ", ", ", ". ", "\n", "; "])
+        texts.append(t)
+        spans.append(s)
+    for _ in range(0 if spelled else n):
         t, s = "", []
         for _ in range(int(rng.integers(6, 24))):
             r = rng.random()
@@ -221,7 +254,7 @@ def train(texts: list[str], made: int = 1500, epochs: int = 7, batch: int = 64,
     def add(text: str, spans: list[tuple[int, int, int]], keep: float) -> None:
         c, y = np.pad(codes(text), (0, WIDTH), constant_values=32), np.pad(labels_of(len(text), spans), (0, WIDTH))
         for a in window_starts(len(text)):
-            if y[a : a + WIDTH].any() or (_SIGN.search(text, a, a + WIDTH) and rng.random() < keep):
+            if y[a : a + WIDTH].any() or ((_SIGN.search(text, a, a + WIDTH) or _AT.search(text, a, a + WIDTH)) and rng.random() < keep):
                 ids.append(c[a : a + WIDTH])
                 ys.append(y[a : a + WIDTH])
 
@@ -233,6 +266,8 @@ def train(texts: list[str], made: int = 1500, epochs: int = 7, batch: int = 64,
         ids, ys = [ids[i] for i in keep], [ys[i] for i in keep]
     for t, s in zip(*made_up(rng, made)):
         add(t, s, 0.5)
+    for t, s in zip(*made_up(rng, made, spelled=True)):
+        add(t, s, 0.5)
     x, y = np.array(ids), np.array(ys)
     p = {"char": uniform(rng, 128, DIM) * 4, "w": uniform(rng, DIM, 8 * HIDDEN), "b": np.zeros(8 * HIDDEN, F32), "uf": uniform(rng, HIDDEN, 4 * HIDDEN), "ub": uniform(rng, HIDDEN, 4 * HIDDEN), "wo": uniform(rng, 2 * HIDDEN, LABELS), "bo": np.zeros(LABELS, F32), "trans": np.zeros((LABELS, LABELS), F32)}
     for a in (0, 4 * HIDDEN):
@@ -265,7 +300,8 @@ def window_starts(n: int) -> range:
 def plausible(kind: int, s: str) -> bool:
     d = sum("0" <= c <= "9" for c in s)
     if kind == 0:
-        return ("@" in s or d > 0) and sum(c.isalpha() for c in s) >= 4 and len(s) <= 80
+        at = None if "@" in s or d > 0 else _AT.search(s, 1)
+        return ("@" in s or d > 0 or (at is not None and _DOT.search(s, at.end()) is not None)) and sum(c.isalpha() for c in s) >= 4 and len(s) <= 80
     return (4 <= d <= 12, 15 <= d <= 19, 7 <= d <= 15)[kind - 1] and (kind != 1 or s.count(".") == 3)
 
 
@@ -282,10 +318,11 @@ def decoded(model: Model, texts: list[str], batch: int = 1024) -> list[list[tupl
             todo.append((d, k))
 
     for d, t in enumerate(texts):
-        for m in _SIGN.finditer(t):
-            if d not in known:
-                known[d] = np.pad(codes(t), (0, WIDTH), constant_values=32), np.zeros(len(t) + WIDTH, np.int8), len(window_starts(len(t))) - 1
-            ask(d, min(max(0, (m.start() - half) // step), known[d][2]))  # the window that owns the place
+        for sign in (_SIGN, _AT):
+            for m in sign.finditer(t):
+                if d not in known:
+                    known[d] = np.pad(codes(t), (0, WIDTH), constant_values=32), np.zeros(len(t) + WIDTH, np.int8), len(window_starts(len(t))) - 1
+                ask(d, min(max(0, (m.start() - half) // step), known[d][2]))  # the window that owns the place
     while todo:
         now, todo = todo[:batch], todo[batch:]
         y = model.decode(np.array([known[d][0][k * step : k * step + WIDTH] for d, k in now]))
@@ -318,7 +355,7 @@ def find_all(model: Model, texts: list[str]) -> list[tuple[list[tuple[int, int,
         for k, a, b in sorted(found, key=lambda s: (s[1], s[0])):
             while b > a and t[b - 1].isspace():
                 b -= 1
-            if b > a and _SIGN.search(t, a, b) and plausible(k, t[a:b]) and not any(a < y and x < b for _, x, y in spans):
+            if b > a and (_SIGN.search(t, a, b) or (k == 0 and _AT.search(t, a, b))) and plausible(k, t[a:b]) and not any(a < y and x < b for _, x, y in spans):
                 spans.append((k, a, b))
         res.append((base, sorted(spans)))
     return res

@@ -17,3 +17,16 @@ def test_spans_over_window_bounds():
         for at in range(0, 160):
             t = "." * at + "E" + "e" * (n - 2) + "@" + "." * 150
             assert pii.decoded(Known(), [t, "", t[:at + n]]) == [[(0, at, at + n)], [], [(0, at, at + n)]], (n, at)
+
+
+def test_spelled_out_addresses():
+    model = pii.train([])
+    texts = ["Write to jane.doe (at) example.org for help.", "contact jane [at] example dot com today", "mail anna(at)web.de please", "mail me: robert_miller AT company DOT net"]
+    want = ["jane.doe (at) example.org", "jane [at] example dot com", "anna(at)web.de", "robert_miller AT company DOT net"]
+    found = [[t[a:b] for _, a, b in spans] for t, (_, spans) in zip(texts, pii.find_all(model, texts))]
+    assert sum(w in f for w, f in zip(want, found)) >= 3, found
+    assert [s for _, s in pii.find_all(model, ["We met at the market. Then we left at noon.", "no sign or number"])] == [[], []]
+    texts, spans = pii.made_up(np.random.default_rng(99), 150, spelled=True)
+    got = [s for _, s in pii.find_all(model, texts)]
+    hit = sum(len(set(a) & set(b)) for a, b in zip(spans, got))
+    assert hit > 0.8 * sum(map(len, spans)) and hit > 0.8 * sum(map(len, got))
