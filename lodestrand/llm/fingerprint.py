@@ -8,8 +8,10 @@ features is closed and chained to a new one. Two digests are compared filter by
 they have in common, beyond what chance gives filters of so many bits, normalised to 0..1; each
 filter of the shorter digest counts with its best partner.
 
-Texts of under 1024 bytes have features of a smaller size, as they'd have few of the other. Texts shorter than
-a window, or without an eligible window, use one feature, the text itself.
+Texts of under 1024 bytes have features of a smaller size, as they'd have few of the other. Those of under 4096
+bytes are digested at the other size as well: texts on either side of 1024 bytes are compared at the small
+size where both have it, else at the large one, which all have. Texts shorter than a window, or without
+an eligible window, use one feature, the text itself.
 
 Defined results: null texts are empty; the empty text has the digest of no filters, like only to
 itself; equal texts have equal digests and likeness 1; ties of rank go to the leftmost window; repeated rows and
@@ -34,6 +36,8 @@ from .common import arrow_map, text_of
 WINDOW, NEAR, POPULAR, FULL, BITS, HASHES = 64, 64, 16, 160, 2048, 5
 #: Texts of fewer bytes have too few features of that size: theirs are of 16 bytes in runs of 8.
 SHORT, SMALL = 1024, (16, 8, 2)
+#: Texts of fewer bytes have a second digest, at the size that isn't theirs.
+BAND = 4096
 #: c log2 c for counts in a window, in units of 2**-12, so that sums are exact
 _CLOG = np.array([0] + [round(c * math.log2(c) * 4096) for c in range(1, WINDOW + 1)], np.int32)
 _DIFF = np.diff(_CLOG, append=_CLOG[-1:])
@@ -123,10 +127,13 @@ def _hashes(t: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def located(data: bytes, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Starts and 64-bit hashes of a text's improbable features, in order, and whether they are of the large size."""
+def located(data: bytes, block: int = 1 << 17, scale: tuple[int, int, int] | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Starts and 64-bit hashes of a text's improbable features, in order, and whether the text is of the large size.
+
+    scale: a size of features that isn't the text's own.
+    """
     t = np.frombuffer(data, np.uint8)
-    scale = SMALL if len(t) < SHORT else (WINDOW, NEAR, POPULAR)
+    scale = scale or (SMALL if len(t) < SHORT else (WINDOW, NEAR, POPULAR))
     n = len(t) - scale[0] + 1
     parts = [(at, _hashes(t, at, scale[0])) for a in range(0, n, block) for at in [places(t, a, min(n, a + block), scale)]]
     if not parts:
@@ -176,6 +183,29 @@ def digest(data: bytes) -> np.ndarray:
     return filters(features(data))
 
 
+def second(data: bytes) -> np.ndarray | None:
+    """The digest at the size that isn't the text's own, of texts of under BAND bytes."""
+    if len(data) >= BAND:
+        return None
+    return filters(_whole(data, located(data, scale=(WINDOW, NEAR, POPULAR) if len(data) < SHORT else SMALL)[1]))
+
+
+#: Whether a text is of the large size, its digest and its second one.
+Both = tuple[bool, np.ndarray, np.ndarray | None]
+
+
+def both(data: bytes) -> Both:
+    return len(data) >= SHORT, digest(data), second(data)
+
+
+def alike(a: Both, b: Both) -> float:
+    """Likeness of two texts at one size of features: their own, or across SHORT bytes one that both have."""
+    if a[0] == b[0]:
+        return likeness(a[1], b[1])
+    small, large = (b, a) if a[0] else (a, b)
+    return likeness(small[1], large[2]) if large[2] is not None else likeness(small[2], large[1])
+
+
 def encode(f: np.ndarray) -> str:
     return f"{len(f)}:" + base64.b64encode(np.packbits(f, axis=1).tobytes()).decode()
 
@@ -291,7 +321,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, fingerprint of the text and of its edited form, and the likenesses to that and the next text's."""
+    """doc_id, n_chars, fingerprint of the text and of its edited form, and the likenesses to that and the next text's.
+
+    second_fingerprint and edited_second: the digests at the other size, null for texts of BAND bytes or more.
+    """
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +334,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         def read(x: str) -> tuple:
             data = x.encode("utf-8", "surrogatepass")
             found = located(data)
-            return x, found, filters(_whole(data, found[1]))
+            return x, found, (len(data) >= SHORT, filters(_whole(data, found[1])), second(data))
 
         for doc_id, text, other in _pairs(batches):
             if known[0] != text:
@@ -310,8 +343,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             known = read(other)
             _, placed_next, nxt = known
             e = edited(text, other).encode("utf-8", "surrogatepass")
-            changed = filters(spliced(e, len(text[: len(text) - len(text) // 2].encode("utf-8", "surrogatepass")), placed, placed_next))
-            rows.append((doc_id, len(text), hashlib.sha256(e).hexdigest(), encode(mine), encode(changed), likeness(mine, changed), likeness(mine, nxt)))
+            own = filters(spliced(e, len(text[: len(text) - len(text) // 2].encode("utf-8", "surrogatepass")), placed, placed_next))
+            changed = (len(e) >= SHORT, own, second(e))
+            more = [None if x[2] is None else encode(x[2]) for x in (mine, changed)]
+            rows.append((doc_id, len(text), hashlib.sha256(e).hexdigest(), encode(mine[1]), encode(own), *more, alike(mine, changed), alike(mine, nxt)))
             if len(rows) >= 1000:
                 yield batch(rows)
                 rows = []
@@ -321,7 +356,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     id_type = {"bigint": pa.int64(), "int": pa.int32()}[kind]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "second_fingerprint", "edited_second", "near_edited", "near_next"])
 
-    return arrow_map(with_next(docs), run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return arrow_map(with_next(docs), run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, second_fingerprint string, edited_second string, near_edited double, near_next double")
