@@ -65,6 +65,22 @@ def hash_sample(df: DataFrame, most: int, *key: str) -> DataFrame:
     return df.orderBy(F.pmod(h, F.lit(1 << 40)), *key).limit(most)
 
 
+def quantiles(df: DataFrame, name: str, rows: int, most: int = 100_000, each: int = 16) -> list:
+    """Values that cut df into ranges of about `rows` rows, `most` ranges at most, whatever gaps the values have.
+
+    They are quantiles of distinct values, those of least hash, `each` a range: they decide about balance alone, never
+    about results. Null values have no part.
+    """
+    src = df.select(name).filter(F.col(name).isNotNull())
+    n = src.count()
+    parts = min(most, -(-n // rows))
+    if parts < 2:
+        return []
+    wanted, h = parts * each, F.pmod(F.xxhash64(name), F.lit(1 << 40))
+    seen = sorted(r[0] for r in src.filter(h < int((1 << 40) * min(1.0, 2 * wanted / n))).distinct().orderBy(h, name).limit(2 * wanted).collect())
+    return sorted({seen[i * len(seen) // parts] for i in range(1, parts)}) if seen else []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -101,15 +101,17 @@ def test_fingerprint_pieces_equal_whole():
     rng = np.random.default_rng(3)
     words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(300)]
     text = lambda n: b" ".join(words[i] for i in rng.integers(0, 300, n))
+    ranks = fingerprint.ranks_of(fingerprint.tallied(text(3000)))
     for n in (20, 60, 400, 3000):
         a, b = text(n), text(n)
-        whole = fingerprint.located(a)
-        assert all(np.array_equal(whole[1], fingerprint.located(a, k)[1]) for k in (97, 1024))
+        whole = fingerprint.located(a, ranks)
+        assert all(np.array_equal(whole[1], fingerprint.located(a, ranks, k)[1]) for k in (97, 1024))
+        assert all(np.array_equal(fingerprint.tallied(a), fingerprint.tallied(a, k)) for k in (97, 1024))
         for cut, k in ((len(a) // 2, len(b) // 3), (len(a), 200), (3, len(b))):
             e = a[:cut] + b[:k]
-            assert np.array_equal(fingerprint.features(e), fingerprint.spliced(e, cut, whole, fingerprint.located(b)))
-    d = fingerprint.digest(a)
-    assert fingerprint.likeness(d, d) == 1 and fingerprint.likeness(d, fingerprint.digest(text(3000))) < 0.3
+            assert np.array_equal(fingerprint.features(e, ranks), fingerprint.spliced(e, cut, whole, fingerprint.located(b, ranks), ranks))
+    d = fingerprint.digest(a, ranks)
+    assert fingerprint.likeness(d, d) == 1 and fingerprint.likeness(d, fingerprint.digest(text(3000), ranks)) < 0.3
     assert np.array_equal(fingerprint.decode(fingerprint.encode(d)), d)
 
 
