@@ -3,7 +3,7 @@
 A sequence of n tokens costs `linear * n + quadratic * n * n` for attention within its documents
 (every piece attends to itself alone, so pieces' costs add up). Documents are cut into full
 sequences and one remainder each; remainders, in descending order, go to the sequence of
-lowest cost among those with enough room. Where no sequence has room, the remainder is cut over the
+lowest cost among all with enough room. Where no sequence has room, the remainder is cut over the
 sequences with most room, so that all sequences of a block but the last are full.
 
 Packing works on blocks of consecutive documents of a partition, each of `block_tokens` tokens, in one
@@ -18,7 +18,6 @@ keep the order of doc_id and start; an empty table gives no pieces; a text of an
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -82,39 +81,31 @@ def encoder(name: str = "byte_bpe_50k", folder: str | None = None) -> Callable[[
     return _ENCODER[key]
 
 
-def assign(lengths: np.ndarray, size: int, linear: float, quadratic: float, look: int = 16) -> list[list[tuple[int, int, int]]]:
+def assign(lengths: np.ndarray, size: int, linear: float, quadratic: float) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (document, start, length), for documents of `lengths` tokens.
 
     All sequences but one are full. `lengths` are taken in descending order of what a document leaves
-    beyond full sequences; ties keep the given order. `look`: sequences tried for room before cutting.
+    beyond full sequences; ties keep the given order. Each goes to the sequence of lowest cost of all that have room for
+    it, the first of equals; where none has, it is cut over those with most room, of these the one of lowest cost.
     """
     full = [[(int(d), int(k) * size, size)] for d in np.flatnonzero(lengths >= size) for k in range(lengths[d] // size)]
     rest = lengths % size
     order = np.argsort(-rest, kind="stable")
     order = order[: int((rest > 0).sum())]
     n = -(-int(rest.sum()) // size)
-    room = [size] * n
+    room, cost = np.full(n, size, np.int64), np.zeros(n)
     bins: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
-    heap = [(0.0, i) for i in range(n)]
     for d in order:
         left, at = int(rest[d]), int(lengths[d] - rest[d])
-        seen: list[tuple[float, int]] = []  # of lowest cost, without room for all that is left
         while left:
-            cost, i = heapq.heappop(heap) if heap and len(seen) < look else (0.0, -1)
-            if i >= 0 and room[i] < left:
-                seen.append((cost, i))
-                continue
-            if i < 0:  # none near has room: cut over the roomiest of those seen
-                cost, i = max(seen, key=lambda x: (room[x[1]], -x[1]))
-                seen.remove((cost, i))
-            take = min(left, room[i])
+            i = int(np.where(room >= left, cost, np.inf).argmin())
+            if room[i] < left:
+                i = int(np.where(room == room.max(), cost, np.inf).argmin())
+            take = min(left, int(room[i]))
             bins[i].append((int(d), at, take))
             room[i] -= take
+            cost[i] += linear * take + quadratic * take * take
             left, at = left - take, at + take
-            if room[i]:
-                seen.append((cost + linear * take + quadratic * take * take, i))
-        for x in seen:
-            heapq.heappush(heap, x)
     return full + [b for b in bins if b]
 
 
