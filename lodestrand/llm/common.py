@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, join_small, shared_dir, ship  # noqa: F401
@@ -81,6 +81,26 @@ def quantiles(df: DataFrame, name: str, rows: int, most: int = 100_000, each: in
     return sorted({seen[i * len(seen) // parts] for i in range(1, parts)}) if seen else []
 
 
+def running(df: DataFrame, order: list[str], *sums: str) -> tuple[DataFrame, list]:
+    """df with idx, its place in an order, and before_x, the sum of each column x (long or double) in the rows before; and the whole sums.
+
+    Sorted over ranges; what is gathered is a row for each range, so that no task or window holds the table.
+    """
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
+    per = sorted(tuple(r) for r in ranged.groupBy("_p").agg(F.count("*"), *[F.sum(c) for c in sums]).collect())
+    kinds = ["long", *[dict(df.dtypes)[c] for c in sums]]
+    starts, total = [], [0.0 if k == "double" else 0 for k in kinds]
+    for p, *own in per:
+        starts.append((p, *total))
+        total = [a + b for a, b in zip(total, own)]
+    names = ["idx", *[f"before_{c}" for c in sums]]
+    offsets = df.sparkSession.createDataFrame(starts, "_p int, " + ", ".join(f"_{n} {k}" for n, k in zip(names, kinds)))
+    up = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = {"idx": F.count("*").over(up) - 1} | {f"before_{c}": F.sum(c).over(up) - F.col(c) for c in sums}
+    out = ranged.withColumns(own).join(F.broadcast(offsets), "_p")
+    return out.withColumns({n: (F.col(n) + F.col(f"_{n}")).cast(k) for n, k in zip(names, kinds)}).select(*df.columns, *names), total
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ class, largest first, where that brings the source closer to its target.
 
 Defined results: null text and text of white space have size 0 and take nothing; a null source is a
 source of its own, last in order; repeated rows are documents of their own; an empty table gives an
-empty result; ties are ordered by id, size and hash. Runs over the same rows agree, whatever their
+empty result; ties are ordered by id, size and hash; each level of the tree draws anew. Runs over the same rows agree, whatever their
 partitioning, as salts, order and random numbers come from hashes of the rows.
 """
 
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_small, ship, text_of
+from .common import cut, join_small, running, ship, text_of
 
 ROW = "doc_id {id}, source string, size long, whole int, frac double, u double, salt long, copies int, rest double"
 
@@ -36,21 +36,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
     """(source, source_size, n_docs) -> with target: shares by weight, none above max_repeat times its size.
 
     The water level: sources in ascending order of cap/weight; the first k are at their caps, the others
-    share the rest by weight. One row per source; the windows below run over this small table alone.
+    share the rest by weight. Places and sums in both orders are taken over ranges, however many sources there are.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    t = sizes.withColumn("w", w).withColumn("cap", F.lit(float(max_repeat)) * F.col("source_size"))
-    everything = Window.partitionBy(F.lit(0))
-    up = everything.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("total", F.sum("source_size").over(everything).cast("double")).withColumn("all_w", F.sum("w").over(everything))
-    t = t.withColumn("cap_before", F.sum("cap").over(up) - F.col("cap")).withColumn("w_before", F.sum("w").over(up) - F.col("w"))
-    # the level if this source were the first one below its cap
-    t = t.withColumn("level", (F.col("total") - F.col("cap_before")) / (F.col("all_w") - F.col("w_before")))
-    t = t.withColumn("open", F.col("level") * F.col("w") <= F.col("cap"))
-    # that of the first open source in this order holds
-    t = t.withColumn("level", F.min(F.when(F.col("open"), F.struct((F.col("cap") / F.col("w")).alias("at"), "level"))).over(everything)["level"])
-    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("w")))
+    named, _ = running(sizes.withColumn("last", F.col("source").isNull()), ["last", "source"])
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("idx") % len(weights) + 1).cast("int"))
+    t = named.withColumn("w", w).drop("idx").withColumn("cap", F.lit(float(max_repeat)) * F.col("source_size")).withColumn("at", F.col("cap") / F.col("w"))
+    t, totals = running(t, ["at", "last", "source"], "cap", "w")
+    if not totals[0]:
+        return t.select("source", "source_size", "n_docs", F.col("cap").alias("target"))
+    # the level if this source were the first one below its cap; that of the first such source in this order holds
+    level = (totals[1] / max_repeat - F.col("before_cap")) / (totals[2] - F.col("before_w"))
+    first = t.withColumn("level", level).filter(F.col("level") * F.col("w") <= F.col("cap")).agg(F.min(F.struct("idx", "level"))).first()[0]
+    target = F.col("cap") if first is None else F.least(F.col("cap"), F.lit(first["level"]) * F.col("w"))
     return t.select("source", "source_size", "n_docs", target.alias("target"))
 
 
@@ -125,6 +122,11 @@ def _level(rows: DataFrame, schema: str) -> DataFrame:
     return cut(rows.repartition(*by).sortWithinPartitions(*by, "doc_id", "size", "u").mapInPandas(_round, schema))
 
 
+def _chance(seed: int, level: int) -> Column:
+    """A number between 0 and 1 for each row, another one at each level of the tree."""
+    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "size"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, seed: int = 17, rows_per_salt: int = 20_000, fan_in: int = 32, max_sources: int = 200_000) -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken for each row of docs(doc_id, text, source)."""
     spark = docs.sparkSession
@@ -142,14 +144,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int =
     h = F.xxhash64("doc_id", "size", F.lit(seed))
     rows = joined.select(
         "doc_id", "source", "size", F.least(F.floor(rate), F.lit(max_repeat)).cast("int").alias("whole"), (rate - F.floor(rate)).alias("frac"),
-        ((F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(1 << 52)) + 0.5) / float(1 << 52)).alias("u"), F.pmod(h, salts).alias("salt"),
+        _chance(seed, 0).alias("u"), F.pmod(h, salts).alias("salt"),
         F.lit(0).alias("copies"), F.lit(None).cast("double").alias("rest"),
     )
     level = _level(rows, schema)
     decided, width = [level.filter("rest is null")], widest
     while width > 1:
         width = -(-width // fan_in)
-        up = level.filter("rest is not null").withColumn("whole", F.col("copies")).withColumn("frac", F.col("rest")).withColumn("rest", F.lit(None).cast("double"))
+        up = level.filter("rest is not null").withColumn("whole", F.col("copies")).withColumn("frac", F.col("rest")).withColumn("rest", F.lit(None).cast("double")).withColumn("u", _chance(seed, len(decided)))
         level = _level(up.withColumn("salt", F.floor(F.col("salt") / fan_in)), schema)
         decided.append(level.filter("rest is null"))
     last = level.filter("rest is not null").withColumn("copies", F.col("copies") + F.round("rest").cast("int"))
