@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are sorted by page_id over ranges that an exact histogram of the ids gives, so that the same
-rows make the same files on any cluster. A task writes its range into files rolled by compressed
+Records are sorted by page_id over ranges that quantiles of the ids give, so that gaps between ids don't matter and the
+same rows make the same files on any cluster. A task writes its range into files rolled by compressed
 size; headers (record id, date, lengths, block and payload digests) are made anew from the record,
 never copied. Each file is written under a temporary name and renamed when whole; the list of files, with
 their digests, is written last and renamed into place: a folder without that manifest was not
@@ -10,7 +10,8 @@ are revisit records that refer to it.
 
 Defined results: a null html is an empty payload; null page_ids sort first and are written without an id;
 of equal payloads at the same page_id the first one written is the response; repeated rows are
-records of their own; an empty table commits an archive of no files.
+records of their own; control characters of urls, which would end a header line, are percent-encoded, as are
+signs in ids that are strings; an empty table commits an archive of no files.
 """
 
 from __future__ import annotations
@@ -19,19 +20,20 @@ import base64
 import hashlib
 import json
 import os
+import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
+from urllib.parse import quote, unquote, urlparse
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, join_small, shared_dir, ship
+from .common import arrow_map, join_small, quantiles, shared_dir, ship
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -70,17 +72,29 @@ def record_id(page_id: object, url: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha1(repr((page_id, url, digest)).encode()).digest()[:16], version=5)}>"
 
 
+_CONTROL = re.compile(r"[\x00-\x20\x7f]")
+
+
+def safe(url: str) -> str:
+    """The url with control characters and spaces percent-encoded, so that it is one header value."""
+    return _CONTROL.sub(lambda m: f"%{ord(m.group()):02X}", url)
+
+
+def id_text(page_id: object) -> str:
+    return quote(page_id, safe="") if isinstance(page_id, str) else str(page_id)
+
+
 def record(page_id: object, url: str, payload: bytes, digest: str, refers: object = None, revisit: bool = False, date: str = DATE) -> bytes:
     """One WARC record, before compression. refers: (page_id, url) of the response that a revisit points to."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, url, digest)}", f"WARC-Date: {date}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{b32(block)}", "Content-Type: application/http; msgtype=response",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, url, digest)}", f"WARC-Date: {date}", f"WARC-Target-URI: {safe(url)}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{b32(block)}", "Content-Type: application/http; msgtype=response",
     ]
     if page_id is not None:
-        head.append(f"X-Page-ID: {page_id}")
+        head.append(f"X-Page-ID: {id_text(page_id)}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(*refers, digest)}", f"WARC-Refers-To-Target-URI: {refers[1]}"] + [f"X-Refers-To-Page-ID: {refers[0]}"] * (refers[0] is not None)
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(*refers, digest)}", f"WARC-Refers-To-Target-URI: {safe(refers[1])}"] + [f"X-Refers-To-Page-ID: {id_text(refers[0])}"] * (refers[0] is not None)
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -121,24 +135,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return fields, http, payload
 
 
-def _ranges(pages: DataFrame, per_range: int, bins: int = 4096) -> list:
-    """Upper bounds of id ranges of about per_range rows, from an exact histogram of `bins` cells."""
-    lo, hi, n = pages.agg(F.min("page_id"), F.max("page_id"), F.count("page_id")).first()
-    if not n:
-        return []
-    bins = min(1 << 20, max(bins, 4 * n // per_range))
-    width = (hi - lo) // bins + 1
-    cells = pages.filter("page_id is not null").groupBy(F.floor((F.col("page_id") - lo) / width).alias("c")).count().collect()
-    bounds, seen = [], 0
-    for c, k in sorted((r[0], r[1]) for r in cells):
-        if seen and seen + k > per_range:
-            bounds.append(lo + c * width)
-            seen = 0
-        seen += k
-    return bounds
-
-
-def write(pages: DataFrame, out: str, per_range: int = 8192, roll_bytes: int = 256 << 20, level: int = 4, min_revisit: int = 0) -> str:
+def write(pages: DataFrame, out: str, per_range: int = 8192, roll_bytes: int = 64 << 20, level: int = 4, min_revisit: int = 0) -> str:
     """Write pages(page_id, url, html) as archives under `out`; returns the manifest's path."""
     spark = pages.sparkSession
     kind = dict(pages.dtypes)["page_id"]
@@ -146,8 +143,8 @@ def write(pages: DataFrame, out: str, per_range: int = 8192, roll_bytes: int = 2
     src = src.withColumn("sha", F.sha1("html"))
     # the first page of each payload that repeats: combined before the shuffle, then joined back to the few that need it
     firsts = src.filter(F.octet_length("html") >= min_revisit).groupBy("sha").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
-    bounds = _ranges(pages.select("page_id"), per_range)
-    slot = F.coalesce(F.expr(f"array_size(filter(array({','.join(f'{b}L' for b in bounds) or 'cast(null as bigint)'}), b -> b <= page_id))"), F.lit(-1)) if len(bounds) < 50 else F.coalesce(_slot(bounds)(F.col("page_id")), F.lit(-1))
+    bounds = quantiles(pages, "page_id", per_range)
+    slot = F.coalesce(_slot(bounds, kind), F.lit(-1))
     rows = join_small(src, firsts, ["sha"], "left").withColumn("slot", slot.cast("int"))
     n = min(len(bounds) + 2, 100_000)  # a task for each range or two: tasks don't grow with the input
     rows = rows.repartitionById(n, F.col("slot") + 1).sortWithinPartitions("slot", "page_id", "url", "sha").select("slot", "page_id", "url", "html", "sha", "first")
@@ -204,15 +201,17 @@ def write(pages: DataFrame, out: str, per_range: int = 8192, roll_bytes: int = 2
     return f"{out}/manifest.parquet"
 
 
-def _slot(bounds: list):  # noqa: ANN202
-    """Number of bounds at or below an id, for many bounds: a binary search over a literal in a pandas UDF."""
-    at = np.array(bounds)
+def _slot(bounds: list, kind: str) -> Column:
+    """Number of bounds at or below an id; null for a null one."""
+    if len(bounds) < 50:
+        at = F.array(*[F.lit(b).cast(kind) for b in bounds]) if bounds else F.array().cast(f"array<{kind}>")
+        return F.when(F.col("page_id").isNotNull(), F.size(F.filter(at, lambda b: b <= F.col("page_id"))))
 
     @F.pandas_udf("int")
     def slot(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.notna(), np.searchsorted(at, ids.fillna(at[0] - 1).to_numpy(), side="right"), None))
+        return pd.Series([None if pd.isna(x) else bisect_right(bounds, x) for x in ids], dtype="Int32")
 
-    return slot
+    return slot(F.col("page_id").cast("string") if kind == "string" else F.col("page_id"))
 
 
 def read(spark: SparkSession, out: str, id_type: str = "bigint") -> DataFrame:
@@ -220,7 +219,7 @@ def read(spark: SparkSession, out: str, id_type: str = "bigint") -> DataFrame:
     ship(spark)
     manifest = spark.read.parquet(f"{out}/manifest.parquet").select("file", "bytes", "sha256")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    as_id = int if id_type in ("bigint", "int") else str
+    as_id = int if id_type in ("bigint", "int") else unquote
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string())])
