@@ -279,7 +279,7 @@ def with_next(docs: DataFrame, rows: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(tail, pa.int32()), b.column("doc_id").take(where), b.column("text").take(where)], names=["slot", "tail", "doc_id", "text"])
 
     sent = arrow_map(src, copies, f"slot int, tail int, doc_id {dict(docs.dtypes)['doc_id']}, text string")
-    return sent.repartition(min(last + 1, 100_000), "slot").sortWithinPartitions("slot", "tail", "doc_id", "text")
+    return sent.repartitionById(min(last + 1, 100_000), "slot").sortWithinPartitions("slot", "tail", "doc_id", "text")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

@@ -1,14 +1,16 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word's input is its hashed embedding and the mean of its hashed character n-gram embeddings, so that
-unseen forms of a known stem are known in part. A word of more than LONG bytes is cut at its signs, and what is
-still longer into pieces that overlap; each is an input like a word, so that every letter is read. Windows of `width` words, each overlapping the next, are read in both directions; attention pools the states into one logit. A document's score is the
-greatest of all its windows'.
-
-Labels are of documents, so training chooses windows: of a toxic document those that score highest, of a clean one
-some at random and those that score highest. The first choice is by smoothed log-odds of words and n-grams
-over the training documents, which are inputs as well; in training, a document's own counts are left out of
-them, so that a word that it alone has tells nothing.
+A word's input is its hashed embedding and its spelling: the greatest states of a small gated network that reads
+its characters in both directions, each with a hashed embedding of the five that end there, so that unseen forms of a known
+stem are known in part. A word of more than LONG bytes is cut
+at its signs, and what is still longer into pieces that overlap; each is an input like a word, so that every letter is
+read. Windows of `width` words, each overlapping the next, are read in both directions; attention pools the states into
+one logit. A document's score is the greatest of all its windows'. Nothing but words and characters enters the network.
+
+Labels are of documents, so training chooses windows. At first all windows of a toxic document stand for it, a few of
+them in each pass; then those that the network itself finds highest. Of clean documents some are taken at random and
+those that score highest. While training, words are exchanged for others' and joined with others' letters at random, so that what is learnt is what
+they have in common, wherever in a word it stands; the first epochs learn from spelling alone.
 
 Training takes at most `sample` rows of each label (by hash of the id, of texts up to `sample_chars`
 characters), on the driver; scoring reads every text whole. Nothing but the text enters a score.
@@ -33,12 +35,11 @@ from pyspark.sql import functions as F
 from .common import arrow_map, hash_sample, pieces, text_of
 from .nets import F32, Adam, gru, gru_back, sigmoid, uniform
 
-#: Words and n-grams have log-odds by 20 bits of their hash, embeddings by fewer.
-HINTS, WORDS, GRAMS, DIM, HIDDEN, LONG = 1 << 20, 1 << 14, 1 << 15, 6, 8, 22
-INPUT = 2 * DIM + 2
+#: Rows of the tables of words and of runs of characters, their width, states of a spelling in each direction, of a window in each direction, bytes of a word.
+WORDS, GRAMS, DIM, CHARS, HIDDEN, LONG = 1 << 16, 1 << 16, 8, 8, 8, 22
+INPUT = DIM + 2 * CHARS
 OVERLAP = 8
 _PLAIN = re.compile(r"[\W_]+")
-_POWER = np.array([pow(0x9E3779B1, i, 1 << 32) for i in range(6)], np.uint32)
 
 
 def _cut(word: str) -> list[str]:
@@ -73,49 +74,78 @@ def words_of(text: str) -> list[str]:
     return [x for w in words for x in ((w,) if len(w) <= LONG // 4 or (len(w) <= LONG and w.isascii()) else _cut(w))]
 
 
-def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets (of HINTS) of words, and of their character n-grams (3 to 5, ends marked), padded with HINTS.
-
-    Case and signs don't count. Words are those of words_of, of LONG bytes at most.
-    """
-    plain = [w if w.isalnum() else _PLAIN.sub("", w) for w in map(str.lower, words)]
-    raw = [w.encode("utf-8", "surrogatepass") for w in plain]
-    raw = [b"^%b$" % w for w in raw]
-    n = len(raw)
-    size = np.fromiter(map(len, raw), np.int64, n)
-    wide = max(5, int(size.max()))
-    m = np.array(raw, f"S{wide}").view(np.uint8).reshape(n, wide).astype(np.uint32)
-    grams = []
-    h = np.zeros((n, wide), np.uint32)
-    for k in range(5):  # the hash of the k+1 bytes that begin at each place
-        h[:, : wide - k] += (m[:, k:] + np.uint32(1)) * _POWER[k]
-        if k >= 2:
-            places = wide - k
-            g = h[:, :places] * np.uint32(0x85EBCA6B) + np.uint32(k)
-            g = (g ^ (g >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(12)
-            grams.append(np.where(np.arange(places)[None, :] + k < np.maximum(size, k + 1)[:, None], g.astype(np.int32), HINTS))
-    word = np.fromiter((xxhash.xxh3_64_intdigest(w) % HINTS for w in raw), np.int64, n)
-    return word, np.concatenate(grams, axis=1)
-
-
-def inputs(p: dict, word: np.ndarray, gram: np.ndarray, hints: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Input rows of words: both embeddings and both log-odds; and each word's number of n-grams."""
-    count = np.maximum(1, (gram < HINTS).sum(axis=1)).astype(F32)[:, None]
-    x = np.empty((len(word), INPUT), F32)
-    x[:, :DIM] = p["word"][word % WORDS]
-    total, most = np.zeros((len(word), DIM), F32), np.full(len(word), -3, F32)
-    for g in gram.T:
-        total += np.take(p["gram"], gram_row(g), axis=0)
-        np.maximum(most, np.take(hints[1], g), out=most)
-    x[:, DIM : 2 * DIM] = total / count
-    x[:, 2 * DIM] = hints[0][word]
-    x[:, 2 * DIM + 1] = most
-    return x, count
-
-
-def gram_row(g: np.ndarray) -> np.ndarray:
-    """The embedding's row of n-gram buckets; padding has the last one."""
-    return np.where(g < HINTS, g & (GRAMS - 1), GRAMS)
+def bare(words: list[str]) -> list[bytes]:
+    """Words of words_of without case and signs."""
+    return [(w if w.isalnum() else _PLAIN.sub("", w)).encode("utf-8", "surrogatepass") for w in map(str.lower, words)]
+
+
+def marked(raw: list[bytes]) -> np.ndarray:
+    """The bytes of words, ends marked, at the right of each row, 0 before."""
+    wide = max(3, max(map(len, raw)) + 2)
+    return np.frombuffer(b"".join((b"\x01%b\x02" % w).rjust(wide, b"\0") for w in raw), np.uint8).reshape(len(raw), wide)
+
+
+def spelt(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the word table, and the bytes of words."""
+    raw = bare(words)
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) % WORDS for w in raw), np.int64, len(raw)), marked(raw)
+
+
+def runs(chars: np.ndarray) -> np.ndarray:
+    """The row of the run table for the five bytes that end at each place."""
+    n, wide = chars.shape
+    c = np.zeros((n, wide + 4), np.uint32)
+    c[:, 4:] = chars
+    h = sum(c[:, k : k + wide] * np.uint32(pow(0x9E3779B1, k + 1, 1 << 32)) for k in range(5)) * np.uint32(0x85EBCA6B)
+    return ((h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(16)).astype(np.int64)
+
+
+def joined(words: list[bytes], others: list[bytes], share: float, rng: np.random.Generator) -> list[bytes]:
+    """Words, a share of them within letters of others or any bytes, up to LONG bytes; b"" where a word stays."""
+    out = [b""] * len(words)
+    for i in np.flatnonzero(rng.random(len(words)) < share):
+        free = LONG - len(words[i])
+        if free > 0:
+            fill = b"".join(others[k] for k in rng.integers(0, len(others), 4)) if rng.random() < 0.7 else rng.integers(97, 240, LONG).astype(np.uint8).tobytes()
+            k = int(rng.integers(0, free + 1))
+            out[i] = fill[:k] + words[i] + fill[k : free if rng.random() < 0.7 else k]
+    return out
+
+
+def spellings(p: dict, chars: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+    """The greatest states of the network over the characters, in both directions."""
+    mask, at = (chars > 0).astype(F32), runs(chars)
+    e = p["char"][chars] + p["run"][at]
+    ends, past = [], []
+    for step, k in ((1, "c"), (-1, "d")):
+        h, states = gru(e[:, ::step] @ p[k + "w"] + p[k + "b"], p[k + "u"], mask[:, ::step], keep)
+        h = np.where(mask[:, ::step, None] > 0, h, F32(-1))
+        top = h.argmax(axis=1)
+        ends.append(np.take_along_axis(h, top[:, None], 1)[:, 0])
+        past.append((states, top))
+    return np.concatenate(ends, axis=1), (chars, at, e, mask, past)
+
+
+def spellings_back(p: dict, d: np.ndarray, state: tuple) -> tuple[dict, np.ndarray]:
+    """Gradients of the weights, and of each character's embedding."""
+    chars, at, e, mask, past = state
+    g, de = {}, np.zeros_like(e)
+    for i, (step, k) in enumerate(((1, "c"), (-1, "d"))):
+        states, top = past[i]
+        dout = np.zeros((*chars.shape, CHARS), F32)
+        np.put_along_axis(dout, top[:, None], d[:, None, i * CHARS : (i + 1) * CHARS], 1)
+        dx, g[k + "u"] = gru_back(dout, p[k + "u"], mask[:, ::step], states)
+        flat = dx.reshape(-1, dx.shape[2])
+        g[k + "w"], g[k + "b"] = e[:, ::step].reshape(-1, e.shape[2]).T @ flat, flat.sum(axis=0)
+        de += (dx @ p[k + "w"].T)[:, ::step]
+    g["char"] = added(chars.ravel(), de.reshape(-1, de.shape[2]), 256)
+    return g, de
+
+
+def inputs(p: dict, word: np.ndarray, chars: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+    """Input rows of words: embedding and spelling."""
+    spelling, past = spellings(p, chars, keep)
+    return np.concatenate([p["word"][word], spelling], axis=1), past
 
 
 def added(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -141,14 +171,14 @@ class Model:
         """Ids of the texts' words; 0 is padding."""
         ids = self.ids
         split = [words_of(t) for t in texts]
-        new = sorted({w for words in split for w in words if w not in ids}, key=len)  # by length, so that n-gram tables are narrow
+        new = sorted({w for words in split for w in words if w not in ids}, key=len)  # by length, so that few characters are padding
         at = len(ids) + 1
         for i, w in enumerate(new):
             ids[w] = at + i
         if at + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((max(len(new), len(self.rows)), self.rows.shape[1]), F32)])
         for i in range(0, len(new), 2048):
-            x = inputs(self.p, *buckets(new[i : i + 2048]), (self.p["hint_word"], self.p["hint_gram"]))[0]
+            x = inputs(self.p, *spelt(new[i : i + 2048]))[0]
             self.rows[at + i : at + i + len(x)] = x @ self.p["w"] + self.p["b"]
         return [np.fromiter(map(ids.__getitem__, words), np.int32, len(words)) for words in split]
 
@@ -213,103 +243,105 @@ def backward(p: dict, dlogit: np.ndarray, mask: np.ndarray, state: tuple) -> tup
     return g, np.concatenate([dxf, dxb[:, ::-1]], axis=2)
 
 
-def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 8, batch: int = 128, seed: int = 11) -> Model | float:
-    """A model, or a constant score where the labels are of one kind."""
+def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 10, steps: int = 40, batch: int = 128, swapped: float = 0.5, glue: float = 0.25, left_out: float = 0.5, spelling: int = 6, at: float = 0.7, alarms: float = 0.003, seed: int = 11) -> Model | float:
+    """A model, or a constant score where the labels are of one kind. steps: batches of an epoch; swapped, glue, left_out: shares of words exchanged, joined with letters, without embedding; spelling: epochs of spelling alone; at, alarms: score that this share of clean documents may reach."""
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return float(y.max()) if len(y) else 0.0
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
     docs = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in words_of(t)], np.int32) for t in texts]
-    word, gram = buckets(["", *vocab])
-    gram = gram.astype(np.int32)
-    prior = y.mean()
-
-    # log-odds of buckets over documents, each of which counts once; own: those of other documents than one of that label
-    def odds(present: Iterator[np.ndarray], size: int) -> list[np.ndarray]:
-        c = np.zeros((2, size))
-        for b, k in zip(present, y):
-            c[k][b] += 1
-        out = []
-        for own in (0, 1, None):
-            d = c.copy()
-            if own is not None:
-                d[own] = np.maximum(0, d[own] - 1)
-            n = d.sum(axis=0)
-            r = np.log((d[1] + 2 * prior) / (d[0] + 2 * (1 - prior))) - np.log(prior / (1 - prior))
-            out.append(np.clip(r * np.sqrt(n / (n + 4)), -3, 6).astype(F32) / 2)
-        return out
-
-    present = [np.unique(d) for d in docs]
-    wo = odds((np.unique(word[d]) for d in present), HINTS)
-    go = odds((np.unique(gram[d]) for d in present), HINTS + 1)
-    for g in go:
-        g[HINTS] = -3
+    raw = bare(["", *vocab])
+    word, chars = spelt(["", *vocab])
+    seen = np.bincount(np.concatenate([np.unique(word[d]) for d in docs]).astype(np.int64), minlength=WORDS)
     p = {
-        "word": uniform(rng, WORDS, DIM) * 10, "gram": uniform(rng, GRAMS + 1, DIM) * 10, "w": uniform(rng, INPUT, 6 * HIDDEN), "b": np.zeros(6 * HIDDEN, F32), "uf": uniform(rng, HIDDEN, 3 * HIDDEN), "ub": uniform(rng, HIDDEN, 3 * HIDDEN),
+        "word": np.zeros((WORDS, DIM), F32), "run": np.zeros((GRAMS, 8), F32), "char": uniform(rng, 256, 8) * 8, "w": uniform(rng, INPUT, 6 * HIDDEN), "b": np.zeros(6 * HIDDEN, F32), "uf": uniform(rng, HIDDEN, 3 * HIDDEN), "ub": uniform(rng, HIDDEN, 3 * HIDDEN),
+        **{k + "w": uniform(rng, 8, 3 * CHARS) for k in "cd"}, **{k + "b": np.zeros(3 * CHARS, F32) for k in "cd"}, **{k + "u": uniform(rng, CHARS, 3 * CHARS) for k in "cd"},
         "wa": uniform(rng, 2 * HIDDEN, 8), "ba": np.zeros(8, F32), "va": uniform(rng, 8), "wo": uniform(rng, 2 * HIDDEN), "bo": np.zeros(1, F32),
     }
-    p["gram"][GRAMS] = 0
-    learnt = {k: v for k, v in p.items() if k not in ("word", "gram")}
-    adam, slow = Adam(learnt), Adam({k: p[k] for k in ("word", "gram")}, rate=5e-4)
-    p["hint_word"], p["hint_gram"] = wo[2], go[2]
+    p["w"][:DIM] *= 3
+    adam = Adam({k: v for k, v in p.items() if k not in ("word", "run")}, rate=1e-2)
+    speed, rate = {k: np.zeros_like(p[k]) for k in ("word", "run")}, 4.0
     model = Model(p, width)
 
     starts = [model.windows(len(d)) for d in docs]
     padded = [np.concatenate([d, np.zeros(width, np.int32)]) for d in docs]
     all_ids = np.concatenate([padded[i][s[:, None] + np.arange(width)] for i, s in enumerate(starts)])
     owner = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
-    hint = [np.maximum(wo[k][word], np.concatenate([go[k][gram[a : a + 20_000]].max(axis=1) for a in range(0, len(gram), 20_000)])) for k in (0, 1)]
-    rank = np.where(y[owner][:, None] == 1, hint[1][all_ids], hint[0][all_ids]).max(axis=1)
-
-    def choose(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((-rank, owner))
-        head = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(docs)))[:-1]])
-        top = order[head]
-        pos = top[y[owner[top]] == 1]
-        clean = np.flatnonzero(y[owner] == 0)
-        hard = clean[np.argsort(-rank[clean], kind="stable")[: max(200, len(pos))]]
-        some = rng.choice(clean, min(len(clean), 2 * len(pos) + 200), replace=False)
-        neg = np.unique(np.concatenate([hard, some]))
-        return np.concatenate([pos, neg]), np.concatenate([np.ones(len(pos)), np.zeros(len(neg))])
-
-    def project(ids: np.ndarray, label: np.ndarray) -> tuple:
-        """Words that occur under either label, where each occurs among them, their inputs and projected inputs."""
-        both = ids.astype(np.int64) + label[:, None] * len(word)
-        u, back = np.unique(both, return_inverse=True)
-        k, w = u // len(word), u % len(word)
-        x, count = inputs(p, word[w], gram[w], (wo[2], go[2]))
-        x[:, 2 * DIM] = np.where(k == 1, wo[1][word[w]], wo[0][word[w]])
-        x[:, 2 * DIM + 1] = np.where(k == 1, go[1][gram[w]].max(axis=1), go[0][gram[w]].max(axis=1))
-        return w, back.reshape(ids.shape), x, count, x @ p["w"] + p["b"]
+    # a fifth of the clean documents aren't learnt from: the bias is set by them
+    apart = np.zeros(len(docs), bool)
+    apart[rng.permutation(np.flatnonzero(y == 0))[: int((y == 0).sum()) // 5]] = True
+    toxic, clean = np.flatnonzero(y[owner] == 1), np.flatnonzero((y[owner] == 0) & ~apart[owner])
+    filler = [raw[i] for d in docs for i in d[:20] if raw[i]] or [b"e"]
+    others = np.concatenate([docs[i] for i in np.flatnonzero((y == 0) & ~apart)] + [np.zeros(1, np.int32)])
+
+    def first(order: np.ndarray, most: int) -> np.ndarray:
+        """Of windows in an order, at most `most` of each document."""
+        o = owner[order]
+        at = np.argsort(o, kind="stable")
+        head = np.concatenate([[0], np.flatnonzero(np.diff(o[at])) + 1]) if len(at) else np.zeros(0, np.int64)
+        nth = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
+        return order[np.sort(at[nth < most])]
+
+    def choose(rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Windows that stand for either label."""
+        if rank is None:
+            return first(rng.permutation(toxic), 6), clean
+        pos = first(toxic[np.argsort(-rank[toxic], kind="stable")], 1)
+        pos = pos[: max(1, int(0.8 * len(pos)))]  # labels are noisy: the fifth that least looks it tells nothing
+        hard = clean[np.argsort(-rank[clean], kind="stable")[: max(200, len(pos) // 2)]]
+        return pos, np.concatenate([np.repeat(hard, max(1, len(clean) // (3 * len(hard)))), clean])
+
+    def projected() -> np.ndarray:
+        """Projected inputs of all words."""
+        return np.concatenate([inputs(p, word[a : a + 2048], chars[a : a + 2048])[0] @ p["w"] + p["b"] for a in range(0, len(word), 2048)])
+
+    def ranked(rows: np.ndarray) -> np.ndarray:
+        """The network's own logit of every window."""
+        return np.concatenate([forward(p, rows[i], (i > 0).astype(F32))[0] for a in range(0, len(all_ids), 1024) for i in [all_ids[a : a + 1024]]])
 
     for epoch in range(epochs):
-        if epoch in (2, 4):  # choose anew by the network itself
-            rank = np.concatenate([forward(p, rows[back], (i > 0).astype(F32))[0] for a in range(0, len(all_ids), 1024) for i in [all_ids[a : a + 1024]] for _, back, _, _, rows in [project(i, y[owner[a : a + 1024]])]])
-        if epoch in (0, 2, 4):
-            sel, target = choose(rank)
         if epoch == epochs - 2:
-            adam.rate /= 4
-            slow.rate /= 4
-        # small sets take more passes, so that all see a like number of steps
-        for _ in range(max(1, min(6, 3000 // max(1, len(sel))))):
-            perm = rng.permutation(len(sel))
-            for a in range(0, len(perm), batch):
-                i = perm[a : a + batch]
-                ids, t = all_ids[sel[i]], target[i]
-                mask = (ids > 0).astype(F32)
-                w, back, x, count, rows = project(ids, y[owner[sel[i]]])
-                logit, state = forward(p, rows[back], mask, keep=True)
-                weight = np.where(t > 0, len(target) / (2 * target.sum()), len(target) / (2 * (len(target) - target.sum())))
-                dlogit = ((sigmoid(logit) - t) * weight / len(i)).astype(F32)
-                g, dx = backward(p, dlogit, mask, state)
-                drows = added(back.ravel(), dx.reshape(-1, dx.shape[2]), len(w))
-                g["w"], g["b"] = x.T @ drows, drows.sum(axis=0)
-                du = drows @ p["w"].T
-                e = {"word": added(word[w] % WORDS, du[:, :DIM], WORDS), "gram": added(gram_row(gram[w].ravel()), np.repeat(du[:, DIM : 2 * DIM] / count, gram.shape[1], axis=0), GRAMS + 1)}
-                e["gram"][GRAMS] = 0
-                adam.step(g)
-                slow.step(e)
+            adam.rate /= 5
+            rate /= 5
+        rows = projected()
+        alone = np.concatenate([forward(p, rows[a : a + 4096, None], None)[0] for a in range(0, len(rows), 4096)])
+        alone[0] = -np.inf
+        pos, neg = choose(None if epoch < epochs // 2 else ranked(rows))
+        for _ in range(steps):
+            half = batch // 2
+            ids = all_ids[np.concatenate([rng.choice(pos, half), rng.choice(neg, batch - half)])]
+            t = np.concatenate([np.ones(half, F32), np.zeros(batch - half, F32)])
+            # words exchanged for others' of clean documents, but for that which the network alone finds most toxic: what
+            # marks a window isn't its surroundings
+            free = (ids > 0) & (np.arange(width) != alone[ids].argmax(axis=1)[:, None])
+            ids = np.where((rng.random(ids.shape) < swapped * rng.random((batch, 1)) * 2) & free, others[rng.integers(0, len(others), ids.shape)], ids)
+            mask = (ids > 0).astype(F32)
+            u, back = np.unique(ids, return_inverse=True)
+            back = back.reshape(ids.shape)
+            known = ((seen[word[u]] > 1) & (rng.random(len(u)) >= (1 if epoch < spelling else left_out))).astype(F32)[:, None]  # words of one document alone have no embedding
+            words = [raw[i] for i in u]
+            within = joined(words, filler, glue, rng)
+            known[[i for i, w in enumerate(within) if w]] = 0
+            c = marked([w or x for w, x in zip(within, words)])
+            x, past = inputs(p, word[u], c, keep=True)
+            logit, state = forward(p, (x @ p["w"] + p["b"])[back], mask, keep=True)
+            g, dx = backward(p, ((sigmoid(logit) - t) / batch).astype(F32), mask, state)
+            drows = added(back.ravel(), dx.reshape(-1, dx.shape[2]), len(u))
+            g["w"], g["b"] = x.T @ drows, drows.sum(axis=0)
+            du = drows @ p["w"].T
+            more, de = spellings_back(p, du[:, DIM:], past)
+            adam.step(g | more)
+            # plain steps: a row grows with the number of windows that ask for it
+            for k, at_, d in (("word", word[u], du[:, :DIM] * known), ("run", past[1].ravel(), de.reshape(-1, 8) * past[3].reshape(-1, 1))):
+                speed[k] *= F32(0.9)
+                np.add.at(speed[k], at_, d)
+                p[k] -= F32(rate) * speed[k]
+                p[k] *= F32(1 - 1e-4)
+    # windows of both labels were trained on in equal number: the bias is lowered until hardly a clean document set apart has one at `at`
+    highest = np.full(len(docs), -np.inf)
+    np.maximum.at(highest, owner, ranked(projected()))
+    p["bo"] -= F32(max(0.0, np.quantile(highest[apart if apart.sum() >= 20 else y == 0], 1 - alarms) - np.log(at / (1 - at))))
     return model
 
 
