@@ -115,18 +115,22 @@ def test_fingerprint_pieces_equal_whole():
     assert np.array_equal(fingerprint.decode(fingerprint.encode(d)), d)
 
 
-def test_media(docs, none):
-    rows = media.store(docs).collect()
+def test_media(docs, none, tmp_path):
+    stored = {(r.doc_id, hashlib.sha256(r.media).hexdigest()): r.media for r in media.store(docs).collect()}
+    rows = media.library(docs, str(tmp_path / "m")).collect()
     texts = defaultdict(list)
     for d in docs.collect():
         texts[d.doc_id].append(d.text)
+    assert len(rows) == docs.count()
     for r in rows:
         t = (texts[r.doc_id][0] or "").encode()
         p = t + b"\xff" * (-len(t) % 576 if t else 576)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
-        assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and len(r.media) == r.media_bytes == len(r.media) // 188 * 188
-        assert "discontinuities=0;repeated=0;bad_tables=0;lost_sync=0" in r.feature and sum(u[2] for u in r.units) == len(p)
-    assert media.store(none).count() == 0
+        assert len(stored[r.doc_id, r.media_sha256]) == r.media_bytes == r.media_bytes // 188 * 188
+        assert "discontinuities=0;repeated=0;short_units=0;long_units=0;bad_tables=0;lost_sync=0" in r.feature
+        assert sum(u.length for u in r.units) == len(p) and [u.pts for u in r.units] == [3600 * i for i in range(len(r.units))]
+        assert [u.random_access for u in r.units] == [int(i % 4 == 0) for i in range(len(r.units))]
+    assert media.library(none).count() == 0
 
 
 def test_media_damage():
