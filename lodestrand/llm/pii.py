@@ -301,7 +301,7 @@ def plausible(kind: int, s: str) -> bool:
     d = sum("0" <= c <= "9" for c in s)
     if kind == 0:
         at = None if "@" in s or d > 0 else _AT.search(s, 1)
-        return ("@" in s or d > 0 or (at is not None and _DOT.search(s, at.end()) is not None)) and sum(c.isalpha() for c in s) >= 4 and len(s) <= 80
+        return ("@" in s or d > 0 or (at is not None and _DOT.search(s, at.end()) is not None)) and sum(c.isalpha() for c in s) >= 4
     return (4 <= d <= 12, 15 <= d <= 19, 7 <= d <= 15)[kind - 1] and (kind != 1 or s.count(".") == 3)
 
 
