@@ -253,6 +253,7 @@ def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 10
     docs = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in words_of(t)], np.int32) for t in texts]
     raw = bare(["", *vocab])
     word, chars = spelt(["", *vocab])
+    by_length = np.argsort([len(x) for x in raw], kind="stable")
     seen = np.bincount(np.concatenate([np.unique(word[d]) for d in docs]).astype(np.int64), minlength=WORDS)
     p = {
         "word": np.zeros((WORDS, DIM), F32), "run": np.zeros((GRAMS, 8), F32), "char": uniform(rng, 256, 8) * 8, "w": uniform(rng, INPUT, 6 * HIDDEN), "b": np.zeros(6 * HIDDEN, F32), "uf": uniform(rng, HIDDEN, 3 * HIDDEN), "ub": uniform(rng, HIDDEN, 3 * HIDDEN),
@@ -293,20 +294,27 @@ def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 10
         return pos, np.concatenate([np.repeat(hard, max(1, len(clean) // (3 * len(hard)))), clean])
 
     def projected() -> np.ndarray:
-        """Projected inputs of all words."""
-        return np.concatenate([inputs(p, word[a : a + 2048], chars[a : a + 2048])[0] @ p["w"] + p["b"] for a in range(0, len(word), 2048)])
+        """Projected inputs of all words, by length, so that few characters are padding."""
+        rows = np.empty((len(word), 6 * HIDDEN), F32)
+        for a in range(0, len(word), 2048):
+            i = by_length[a : a + 2048]
+            c = chars[i]
+            rows[i] = inputs(p, word[i], c[:, int((c == 0).all(axis=0).sum()) :])[0] @ p["w"] + p["b"]
+        return rows
 
     def ranked(rows: np.ndarray) -> np.ndarray:
         """The network's own logit of every window."""
         return np.concatenate([forward(p, rows[i], (i > 0).astype(F32))[0] for a in range(0, len(all_ids), 1024) for i in [all_ids[a : a + 1024]]])
 
+    alone = rng.random(len(word))
     for epoch in range(epochs):
         if epoch == epochs - 2:
             adam.rate /= 5
             rate /= 5
-        rows = projected()
-        alone = np.concatenate([forward(p, rows[a : a + 4096, None], None)[0] for a in range(0, len(rows), 4096)])
-        alone[0] = -np.inf
+        if epoch % 2 or epoch >= epochs // 2:
+            rows = projected()
+            alone = np.concatenate([forward(p, rows[a : a + 4096, None], None)[0] for a in range(0, len(rows), 4096)])
+            alone[0] = -np.inf
         pos, neg = choose(None if epoch < epochs // 2 else ranked(rows))
         for _ in range(steps):
             half = batch // 2
