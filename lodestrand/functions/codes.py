@@ -118,6 +118,21 @@ def content_hash(data: Column) -> Column:
     return F.sha2(data.cast("binary"), 256)
 
 
+@F.pandas_udf(T.LongType())
+def fnv1a(data: pd.Series) -> pd.Series:
+    """The 64-bit hash that paths are told apart by, as a signed long; of strings or bytes, null stays null."""
+
+    def one(x: object) -> int | None:
+        if x is None:
+            return None
+        h = 1469598103934665603
+        for b in x.encode() if isinstance(x, str) else bytes(x):
+            h = (h ^ b) * 1099511628211 & _M64
+        return h - (1 << 64) if h >> 63 else h
+
+    return pd.Series([one(x) for x in data], dtype="Int64")
+
+
 def tagged_digest(text: Column) -> Column:
     """The hash with its algorithm, so that digests of different algorithms are never equal."""
     return F.concat(F.lit("sha256:"), content_hash(text))

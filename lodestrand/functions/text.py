@@ -86,6 +86,16 @@ def encoding_rank(path: Column) -> Column:
     return F.when(s.endswith("-0"), 0).when(s.endswith("-8"), 2).when(s.endswith("-5"), 3).otherwise(1)
 
 
+#: A file named by a number with one of the suffixes that tell an encoding.
+TEXT_FILE = r"^(\d+)(-\d+)?\.txt$"
+
+
+def text_rank(name: Column) -> Column:
+    """0 for UTF-8, 1 for none named, 2 for 8-bit; null for other suffixes."""
+    s = F.regexp_extract(name, TEXT_FILE, 2)
+    return F.when(s == "-0", 0).when(s == "", 1).when(s == "-8", 2)
+
+
 def death_year(authors: Column) -> Column:
     year = F.regexp_extract(authors, r"\d{3,4}\??\s*-\s*(\d{3,4})", 1)
     return F.when(year != "", year.cast("int"))

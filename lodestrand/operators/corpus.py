@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -46,6 +46,13 @@ def catalogue_fields(raw: DataFrame) -> DataFrame:
     return raw.filter(c("Type") == "Text").select(c("`Text#`").cast("string").alias("book"), c("Title").alias("title"), c("Authors").alias("authors"), c("Language").alias("language"), c("Subjects").alias("subjects"), T.primary_class(c("LoCC")).alias("locc"), c("Bookshelves").alias("bookshelves"), T.death_year(c("Authors")).alias("death_year"), c("Issued").alias("issued"))
 
 
+def catalogue_fields_plain(raw: DataFrame) -> DataFrame:
+    """The variant that keeps the first class whole and takes a death year from a full lifespan alone."""
+    c = F.col
+    year = F.regexp_extract(F.coalesce("Authors", F.lit("")), r"(\d{4})\??-(\d{4})", 2)
+    return raw.filter(c("Type") == "Text").select(c("`Text#`").cast("string").alias("book"), c("Title").alias("title"), F.coalesce("Authors", F.lit("")).alias("author"), c("Language").alias("language"), F.trim(F.element_at(F.split(F.coalesce("LoCC", F.lit("")), ";"), 1)).alias("locc"), F.coalesce("Subjects", F.lit("")).alias("subjects"), F.when(year != "", year.cast("int")).alias("death_year"))
+
+
 def joined_reasons(files: DataFrame, catalogue: DataFrame, language: str = "en") -> DataFrame:
     """One row: files kept, without catalogue entry, in another language."""
     j = files.join(catalogue.select("book", "language", F.lit(True).alias("known")), "book", "left")
@@ -58,6 +65,20 @@ def encoding_report(results: DataFrame) -> DataFrame:
     return results.groupBy("encoding").agg(F.count("*").alias("files"), F.sum(F.col("changed").cast("int")).alias("changed"))
 
 
+def errors(results: DataFrame) -> DataFrame:
+    """path and error of the files that failed, in order of path."""
+    return results.filter(F.col("error").isNotNull()).select("path", "error").orderBy("path")
+
+
+def best_text_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """The variant that takes files named by a number, with a known suffix, alone, and never those below a folder named old."""
+    p = F.col(path)
+    name = F.element_at(F.split(p, "/"), -1)
+    book, rank = F.regexp_extract(name, T.TEXT_FILE, 1), T.text_rank(name)
+    kept = files.withColumn("book", book).withColumn("_r", rank).filter((book != "") & rank.isNotNull() & (T.revision(p) == 0))
+    return kept.groupBy("book").agg(F.min_by(F.struct(*files.columns), F.struct("_r", p)).alias("x")).select("book", "x.*")
+
+
 def manifest_summary(m: DataFrame) -> DataFrame:
     twice = m.groupBy("digest").count().agg(F.coalesce(F.sum(F.when(F.col("count") > 1, F.col("count") - 1)), F.lit(0)).alias("duplicates"))
     return m.agg(F.count("*").alias("rows"), F.count_if(F.col("title").isNotNull()).alias("titled"), F.count_if(F.col("death_year").isNotNull()).alias("dated")).join(twice)
@@ -65,15 +86,17 @@ def manifest_summary(m: DataFrame) -> DataFrame:
 
 def pipeline_report(results: DataFrame, most_errors: int = 20) -> DataFrame:
     """files, written, skipped, failed and the first errors by path. The counts add up to the files."""
-    errors = F.slice(F.array_sort(F.collect_list(F.when(F.col("status") == "error", F.struct("path", "error")))), 1, most_errors)
+    first = results.filter(F.col("status") == "error").orderBy("path").limit(most_errors).agg(F.array_sort(F.collect_list(F.struct("path", "error"))).alias("errors"))
     n = lambda s: F.count_if(F.col("status") == s)
-    return results.agg(F.count("*").alias("files"), n("written").alias("written"), n("skipped").alias("skipped"), n("error").alias("failed"), errors.alias("errors"))
+    return results.agg(F.count("*").alias("files"), n("written").alias("written"), n("skipped").alias("skipped"), n("error").alias("failed")).join(F.broadcast(first))  # a row each
 
 
 def best_by_digest(docs: DataFrame) -> DataFrame:
     """The document of least id for each text."""
-    w = Window.partitionBy("digest").orderBy("doc_id")
-    return docs.withColumn("digest", tagged_digest(F.col("text"))).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    # combined before the shuffle: a text that a third of all rows have is one row a task
+    rest = [c for c in docs.columns if c != "text"]
+    first = docs.withColumn("digest", tagged_digest(F.col("text"))).groupBy("digest").agg(F.min(F.struct("doc_id", *[c for c in rest if c != "doc_id"])).alias("x"))
+    return first.select("digest", "x.*")
 
 
 def shared_formulas(cells: DataFrame) -> DataFrame:

@@ -14,6 +14,26 @@ def hits(ranked: DataFrame, truth: DataFrame, label: str = "label") -> DataFrame
     return ranked.join(q, "query").join(truth.select("idx", F.col(label).alias("il")), "idx").withColumn("hit", F.col("ql") == F.col("il"))
 
 
+def same_author(ranked: DataFrame, items: DataFrame, ks: tuple[int, ...] = KS, author: str = "author") -> DataFrame:
+    """The control: share of queries with a neighbour of their own author among their first k. No author is nobody's."""
+    known = items.select("idx", F.nullif(F.col(author), F.lit("")).alias(author))
+    h = hits(ranked, known, author).withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return recall_at(h, ks).select("queries", *[F.col(f"recall_{k}").alias(f"author_{k}") for k in ks])
+
+
+def by_class(hit: DataFrame, items: DataFrame, named: Column, k: int = 10) -> DataFrame:
+    """Recall at k apart for queries of the named classes and of others; queries without class have no part."""
+    part = items.select(F.col("idx").alias("query"), F.when(named, "named").otherwise("other").alias("part")).filter(named.isNotNull())
+    return recall_at(hit.join(part, "query"), (k,), ["part"])
+
+
+def separation_change(pairs: DataFrame, before: str, after: str, same: str = "same") -> DataFrame:
+    """How far means of same and other pairs lie apart in two measurements, and how that changed: summaries against originals."""
+    mean = lambda c, s: F.avg(F.when(F.col(same) == F.lit(s), F.col(c)))
+    one = pairs.agg(*[(mean(c, True) - mean(c, False)).alias(n) for c, n in ((before, "before"), (after, "after"))])
+    return one.select("before", "after", (F.col("after") - F.col("before")).alias("change"))
+
+
 def recall_at(hit: DataFrame, ks: tuple[int, ...] = KS, by: list[str] | None = None) -> DataFrame:
     """Share of queries with a hit among their first k, for each k; by: columns of hit to split on."""
     by = by or []

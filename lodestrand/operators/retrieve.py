@@ -16,31 +16,34 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 
-def _blocks(df: DataFrame, idx: str, value: str, kind: str, block: int) -> DataFrame:
-    """(block, ids, data): rows of about `block` rows as two binaries; data are float32 vectors or 64-bit words."""
+def _blocks(df: DataFrame, idx: str, value: str, kind: str, block: int, group: str | None = None) -> DataFrame:
+    """(block, ids, data): rows of about `block` rows as two binaries; data are float32 vectors or 64-bit words.
+
+    group: a column whose 64-bit hash goes with each id, after the ids.
+    """
     n = max(1, -(-df.count() // block))
     dtype = np.float32 if kind == "vec" else np.int64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray]] = []
+        held: list[tuple[int, int, np.ndarray]] = []
         now = None
 
         def out() -> pa.RecordBatch:
-            ids = np.array([i for i, _ in held], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([ids.tobytes()]), pa.array([np.stack([v for _, v in held]).astype(dtype).tobytes()])], names=["block", "ids", "data"])
+            ids = np.array([i for i, _, _ in held] + ([g for _, g, _ in held] if group else []), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([ids.tobytes()]), pa.array([np.stack([v for _, _, v in held]).astype(dtype).tobytes()])], names=["block", "ids", "data"])
 
         for b in batches:
-            for k, i, v in zip(*(c.to_pylist() for c in b.columns)):
+            for k, i, g, v in zip(*(c.to_pylist() for c in b.columns)):
                 if k != now and held:
                     yield out()
                     held = []
                 now = k
-                held.append((i, np.array(v, dtype)))
+                held.append((i, g, np.array(v, dtype)))
         if held:
             yield out()
 
     ship(df.sparkSession)
-    rows = df.filter(F.col(value).isNotNull()).select(F.pmod(F.xxhash64(idx), F.lit(n)).alias("b"), F.col(idx).cast("long"), value)
+    rows = df.filter(F.col(value).isNotNull()).select(F.pmod(F.xxhash64(idx), F.lit(n)).alias("b"), F.col(idx).cast("long"), (F.xxhash64(group) if group else F.lit(0).cast("long")).alias("g"), value)
     return rows.repartition(min(n, 10_000), "b").sortWithinPartitions("b", idx).mapInArrow(run, "block long, ids binary, data binary")
 
 
@@ -74,8 +77,11 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(scale > 0, a @ b.T / np.where(scale > 0, scale, 1), 0.0)
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, value: str, metric: str = "cosine", idx: str = "idx", exclude_self: bool = True, block: int = 4096) -> DataFrame:
-    """(query, idx, score, rank): the k nearest of each query, ties by idx. metric: cosine (of vectors) or hamming (of code words)."""
+def knn(queries: DataFrame, base: DataFrame, k: int, value: str, metric: str = "cosine", idx: str = "idx", exclude_self: bool = True, block: int = 4096, apart: str | None = None) -> DataFrame:
+    """(query, idx, score, rank): the k nearest of each query, ties by idx. metric: cosine (of vectors) or hamming (of code words).
+
+    apart: a column of both sides; rows of the query's own value (its book, its owner) aren't neighbours.
+    """
     kind = "vec" if metric == "cosine" else "code"
     width = len(base.filter(F.col(value).isNotNull()).select(value).first()[0])
     score = _cosines if metric == "cosine" else _distances
@@ -83,18 +89,21 @@ def knn(queries: DataFrame, base: DataFrame, k: int, value: str, metric: str = "
     def best(i1: np.ndarray, d1: np.ndarray, i2: np.ndarray, d2: np.ndarray, same: bool) -> tuple:
         s = score(d1, d2).astype(np.float64)
         cost = -s if metric == "cosine" else s
+        if apart:
+            (i1, g1), (i2, g2) = i1.reshape(2, -1), i2.reshape(2, -1)
+            cost = np.where(g1[:, None] == g2[None, :], np.inf, cost)
         if exclude_self:
             cost = np.where(i1[:, None] == i2[None, :], np.inf, cost)
-        out = [], [], []
-        for r in range(len(i1)):
-            order = np.lexsort((i2, cost[r]))[:k]
-            order = order[np.isfinite(cost[r][order])]
-            out[0].append(np.full(len(order), i1[r]))
-            out[1].append(i2[order])
-            out[2].append(s[r][order])
-        return tuple(np.concatenate(x) for x in out)
-
-    a, b = _blocks(queries, idx, value, kind, block), _blocks(base, idx, value, kind, block)
+        # those up to the kth cost, however many are equal to it, are few; they alone are sorted
+        edge = np.partition(cost, k - 1, axis=1)[:, k - 1 : k] if cost.shape[1] > k else np.full((len(cost), 1), np.inf)
+        r, c = np.nonzero((cost <= edge) & np.isfinite(cost))
+        order = np.lexsort((i2[c], cost[r, c], r))
+        r, c = r[order], c[order]
+        nth = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c = r[nth < k], c[nth < k]
+        return i1[r], i2[c], s[r, c]
+
+    a, b = (_blocks(d, idx, value, kind, block, apart) for d in (queries, base))
     found = _pairs(a, b, width, np.float32 if kind == "vec" else np.int64, best, "query long, idx long, score double")
     order = F.col("score").desc() if metric == "cosine" else F.col("score").asc()
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(order, "idx"))).filter(F.col("rank") <= k)

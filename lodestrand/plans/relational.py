@@ -31,10 +31,10 @@ def time_range(spark: SparkSession, sf: str) -> DataFrame:
     return scan.time_range(e, F.lit(lo), F.lit(hi), "ts").select("event_id", "event_type")
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events) ORDER BY event_id LIMIT 500")
+@query("SELECT event_id, user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)")
 def category_scan(spark: SparkSession, sf: str) -> DataFrame:
     e = _events(spark, sf)
-    return scan.category(e, e.agg(F.min("event_type")).first()[0], "event_type", limit=500).select("event_id", "user_id")
+    return scan.category(e, e.agg(F.min("event_type")).first()[0], "event_type").select("event_id", "user_id")
 
 
 @query("SELECT event_type AS subject, list_sort(list(DISTINCT user_id)) AS members, count(*) AS edges FROM events WHERE value IS NOT NULL GROUP BY event_type")

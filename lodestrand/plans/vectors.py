@@ -70,11 +70,11 @@ def nearest_records(spark: SparkSession, sf: str) -> DataFrame:
     return scan.nearest(df, (q[0], q[1]), 25).select(F.col("idx").alias("vec_id"), F.col("distance").cast("int"))
 
 
-@query(f"WITH {CODES}, q AS (SELECT * FROM codes WHERE idx = 3) SELECT b.idx AS vec_id FROM q a, codes b WHERE b.idx >= 100 AND b.idx < 400 AND {DIST} <= 60 ORDER BY b.idx LIMIT 40")
+@query(f"WITH {CODES}, q AS (SELECT * FROM codes WHERE idx = 3) SELECT b.idx AS vec_id FROM q a, codes b WHERE b.idx >= 100 AND b.idx < 400 AND {DIST} <= 60")
 def ranged_scan(spark: SparkSession, sf: str) -> DataFrame:
     df = coded(spark, sf)
     q = df.filter("idx = 3").select("lsh0", "lsh1").first()
-    return scan.similar(df, (q[0], q[1]), 60, 100, 400, 40).select(F.col("idx").alias("vec_id"))
+    return scan.similar(df, (q[0], q[1]), 60, 100, 400).select(F.col("idx").alias("vec_id"))
 
 
 @query(f"WITH {CODES} SELECT a.idx AS a, b.idx AS b, {DIST} AS distance FROM codes a JOIN codes b ON a.idx < b.idx WHERE {DIST} <= 44")
@@ -92,8 +92,8 @@ def near_pairs_capped(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve.capped(retrieve.near_pairs(coded(spark, sf), 50), 5).select("a", "b", F.col("distance").cast("int"))
 
 
-_KNN_H = f"knn AS (SELECT * FROM (SELECT a.idx AS query, b.idx AS idx, {DIST} AS distance, row_number() OVER (PARTITION BY a.idx ORDER BY {DIST}, b.idx) AS rank FROM codes a JOIN codes b ON a.idx <> b.idx) WHERE rank <= 20)"
-_KNN_C = f"knn AS (SELECT * FROM (SELECT a.vec_id AS query, b.vec_id AS idx, {COS} AS cosine, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 20)"
+_KNN_H = f"knn AS MATERIALIZED (SELECT * FROM (SELECT a.idx AS query, b.idx AS idx, {DIST} AS distance, row_number() OVER (PARTITION BY a.idx ORDER BY {DIST}, b.idx) AS rank FROM codes a JOIN codes b ON a.idx <> b.idx) WHERE rank <= 20)"
+_KNN_C = f"knn AS MATERIALIZED (SELECT * FROM (SELECT a.vec_id AS query, b.vec_id AS idx, {COS} AS cosine, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 20)"
 
 
 def _knn(spark: SparkSession, sf: str, metric: str, k: int = 20, bits: int = codes.BITS) -> DataFrame:
@@ -164,9 +164,9 @@ def constrained_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.within_groups(retrieve.near_pairs(df, 50), groups)
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.label = 3")
+@query("SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id ")
 def same_label_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.same_label_pairs(base(spark, sf).filter("label = 3"))
+    return graph.same_label_pairs(base(spark, sf))
 
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COS} >= 0.4")
@@ -243,9 +243,8 @@ def centroid_per_label(spark: SparkSession, sf: str) -> DataFrame:
 def centroid_assign(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest label centroid of each vector; centroids are a row for each label."""
     b = base(spark, sf)
-    c = vectors.mean_pool(b.select("label", "vec"), ["label"]).agg(F.collect_list(F.struct("label", "vec")).alias("c"))
-    score = F.transform("c", lambda x: F.struct(vectors.dot(F.col("vec"), x["vec"]).alias("d"), x["label"].alias("label")))
-    return b.select("idx", "vec").join(F.broadcast(c)).select(F.col("idx").alias("vec_id"), F.array_max(score)["label"].alias("nearest"))
+    c = vectors.mean_pool(b.select("label", "vec"), ["label"]).select(F.col("label").cast("long").alias("idx"), "vec")
+    return retrieve.knn(b, c, 1, "vec", exclude_self=False).select(F.col("query").alias("vec_id"), F.col("idx").cast("int").alias("nearest"))
 
 
 @query(f"WITH {CODES}, q AS (SELECT vec_id % 50 AS doc, embedding FROM embeddings), e0 AS (SELECT embedding FROM embeddings WHERE vec_id = 0), m AS (SELECT doc, i, avg(x::DOUBLE) AS x FROM (SELECT doc, unnest(embedding) AS x, unnest(range(1, 65)) AS i FROM q) GROUP BY doc, i), p AS (SELECT doc, list(x ORDER BY i) AS v FROM m GROUP BY doc) SELECT p.doc AS doc_id, round(list_cosine_similarity(v, e0.embedding::DOUBLE[]), 6) AS average, round(b.best, 6) AS max_paragraph FROM p, e0, (SELECT doc, max(list_cosine_similarity(q.embedding::DOUBLE[], e0.embedding::DOUBLE[])) AS best FROM q, e0 GROUP BY doc) b WHERE b.doc = p.doc")

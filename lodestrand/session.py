@@ -35,9 +35,11 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
+    """The folder named by spark.checkpoint.dir; where that is unset, on one machine (tests) a folder of our own, on a cluster an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="lodestrand-")
         atexit.register(shutil.rmtree, at, True)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -71,10 +73,10 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", max_rows: int = 200_000, salts: int = 64) -> DataFrame:
-    """Join a table with one row per key: broadcast when counting shows at most max_rows, else salted.
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", max_rows: int = 200_000, salts: int = 64, max_bytes: int = 64 << 20) -> DataFrame:
+    """Join a table with one row per key: broadcast when it is found to have at most max_rows and max_bytes, else salted.
 
-    The count is taken first, so a broadcast never exceeds the bound. Beyond it, rows of the big side
+    Rows and their bytes are counted first, so a broadcast never exceeds the bounds. Beyond it, rows of the big side
     get one of `salts` numbers and the small side is repeated for each, so a hot key spreads over
     `salts` partitions. Only 'left' and 'inner' are offered: the others would repeat unmatched rows.
     """
@@ -82,7 +84,14 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
 
     if how not in ("left", "inner"):
         raise ValueError(how)
-    if small.limit(max_rows + 1).count() <= max_rows:
+    size = F.lit(8 * len(small.columns)).cast("long")
+    for name, kind in small.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))), F.lit(0))
+    rows, width = small.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    if rows <= max_rows and width <= max_bytes:
         return big.join(F.broadcast(small), on, how)
     salt = "__salt"
     big = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in big.columns[:4]]), F.lit(salts)))

@@ -75,6 +75,41 @@ def clean_tree(files: DataFrame, done: DataFrame | None = None) -> DataFrame:
     return out.withColumn("changed", F.encode("text", "UTF-8") != F.col("content")).drop("content")
 
 
+def mirror_tree(cleaned: DataFrame, root: str, out: str) -> DataFrame:
+    """Write clean_tree's texts under `out` at the places they have under `root`; (path, out, bytes) of what was written.
+
+    Tasks write a file each under a temporary name and rename it, with the source's time, so that a run which
+    stops halfway goes on where it was: todo finds those not done.
+    """
+    from ..session import ship
+
+    ship(cleaned.sparkSession)
+    names = [c for c in ("path", "mtime", "text") if c in cleaned.columns]
+    base = re.sub("^file:/*", "/", root).rstrip("/")
+
+    def write(batches):  # noqa: ANN001, ANN202
+        import os
+        import uuid
+
+        import pyarrow as pa
+
+        for b in batches:
+            done = []
+            for row in b.select(names).to_pylist():
+                at = f"{out}/{os.path.relpath(re.sub('^file:/*', '/', row['path']), base)}"
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                temp, data = f"{at}.{uuid.uuid4().hex}.tmp", (row["text"] or "").encode("utf-8", "surrogatepass")
+                with open(temp, "wb") as f:
+                    f.write(data)
+                if row.get("mtime") is not None:
+                    os.utime(temp, (row["mtime"].timestamp(),) * 2)
+                os.replace(temp, at)
+                done.append((row["path"], at, len(data)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.string(), pa.string(), pa.int64()))] if done else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int64())], names=["path", "out", "bytes"])
+
+    return cleaned.select(*names).mapInArrow(write, "path string, out string, bytes long")
+
+
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 CELLS = T.ArrayType(T.StructType([T.StructField("sheet", T.StringType()), T.StructField("row", T.LongType()), T.StructField("col", T.LongType()), T.StructField("value", T.StringType()), T.StructField("formula", T.StringType())]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 import numpy as np
@@ -36,28 +37,53 @@ def _fs(spark: SparkSession, path: str):  # noqa: ANN202
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _replace(spark: SparkSession, temp: str, path: str) -> None:
-    fs, t = _fs(spark, temp)
-    _, p = _fs(spark, path)
-    fs.delete(p, True)
-    if not fs.rename(t, p):
-        raise OSError(f"{path} could not be replaced")
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Make `version` the current one: a small file is renamed over the one before, which is one step of the file system."""
+    jvm, hadoop = spark._jvm, spark._jvm.org.apache.hadoop.fs
+    fs, _ = _fs(spark, path)
+    temp = hadoop.Path(f"{path}/CURRENT.{version}.tmp")
+    out = fs.create(temp, True)
+    out.write(version.encode())
+    out.close()
+    how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    base = fs.makeQualified(hadoop.Path(path))
+    hadoop.FileContext.getFileContext(base.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(temp), hadoop.Path(base, "CURRENT"), how)
 
 
 def save(df: DataFrame, path: str, about: dict) -> None:
-    """Write under a temporary name, parameters last, and rename: a reader sees the whole store or the one before."""
-    spark, temp = df.sparkSession, f"{path}.{uuid.uuid4().hex}.tmp"
-    df.write.parquet(f"{temp}/rows")
-    spark.createDataFrame([(json.dumps(about),)], "params string").coalesce(1).write.text(f"{temp}/params")
-    _replace(spark, temp, path)
+    """Write a new version, parameters last, then let the store's pointer name it.
+
+    A reader, or a writer that stops halfway, finds the whole store or the whole one before. The version before stays for
+    readers that have begun; older ones go.
+    """
+    spark, version = df.sparkSession, f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{path}/{version}/rows")
+    spark.createDataFrame([(json.dumps(about),)], "params string").coalesce(1).write.text(f"{path}/{version}/params")
+    before = current(spark, path)
+    _point(spark, path, version)
+    fs, p = _fs(spark, path)
+    for x in fs.listStatus(p):
+        name = x.getPath().getName()
+        if x.isDirectory() and name.startswith("v") and name < (before or "") and name != version:
+            fs.delete(x.getPath(), True)
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The store's current version; None where there is no store."""
+    fs, p = _fs(spark, f"{path}/CURRENT")
+    return spark.read.text(f"{path}/CURRENT").first()[0] if fs.exists(p) else None
 
 
 def opened(spark: SparkSession, path: str, wanted: dict | None = None, keys: tuple[str, ...] = GUARDED) -> tuple[DataFrame, dict]:
     """(rows, parameters); refuses parameters other than wanted before any row is read."""
-    about = json.loads(spark.read.text(f"{path}/params").first()[0])
+    version = current(spark, path)
+    if version is None:
+        raise FileNotFoundError(path)
+    about = json.loads(spark.read.text(f"{path}/{version}/params").first()[0])
     if wanted is not None:
         check(about, wanted, keys)
-    return spark.read.parquet(f"{path}/rows"), about
+    return spark.read.parquet(f"{path}/{version}/rows"), about
 
 
 def records(paragraphs: DataFrame, code: Column | None = None, order: tuple[str, ...] = ("path", "para"), documents: bool = False) -> DataFrame:
@@ -105,12 +131,55 @@ def save_sidecar(vectors: DataFrame, path: str, model: str, base_count: int) ->
     save(vectors.select("idx", "vec").sort("idx"), path, {"model": model, "dim": low or 0, "base_count": base_count})
 
 
+def append_sidecar(vectors: DataFrame, path: str, model: str, base_count: int) -> None:
+    """Add segments to a sidecar: indices must come after those it has. It is saved whole, for the store's new size."""
+    spark = vectors.sparkSession
+    if current(spark, path) is None:
+        return save_sidecar(vectors, path, model, base_count)
+    old, about = opened(spark, path, {"model": model}, ("model",))
+    last, first = old.agg(F.max("idx")).first()[0], vectors.agg(F.min("idx")).first()[0]
+    if last is not None and first is not None and first <= last:
+        raise Mismatch(f"index {first} isn't after {last}")
+    return save_sidecar(old.unionByName(vectors.select("idx", F.col("vec").cast("array<float>").alias("vec"))), path, model, base_count)
+
+
 def open_sidecar(spark: SparkSession, path: str, base_count: int, model: str | None = None) -> DataFrame:
     """Refuses a sidecar of a store of another size, or of another model (where one is named)."""
     wanted = {"base_count": base_count} | ({"model": model} if model else {})
     return opened(spark, path, wanted, tuple(wanted))[0]
 
 
+def build(spark: SparkSession, csv: str, path: str, embedder: object | None = None) -> dict:
+    """A corpus table to a store at `path`, and with an embedder its vectors beside it: codes are then of the vectors.
+
+    Returns the counts of texts kept, empty and short, and of records. An embedder that fails ends the job.
+    """
+    from ..operators.models import semantic_records
+    from .files import corpus_csv
+
+    rows, counts = corpus_csv(spark, csv)
+    paras = rows.select(F.concat(F.lit("book/"), F.col("text_id").cast("string")).alias("path"), F.col("para").cast("long").alias("para"), F.lit(0).cast("long").alias("off"), F.octet_length("text").cast("long").alias("len"), F.encode("text", "UTF-8").alias("bytes"), "text", "timestamp")
+    if embedder is None:
+        made, about = records(paras), params()
+    else:
+        made, vectors, about = semantic_records(paras, embedder)
+    save(made, path, about)
+    kept = opened(spark, path, about)[0]
+    if embedder is not None:
+        save_sidecar(vectors, f"{path}.vectors", embedder.name, kept.count())
+    return counts.first().asDict() | {"records": kept.count()}
+
+
+def _halves(v: object) -> bytes:
+    return np.asarray(v, "<f2").tobytes()
+
+
+@F.pandas_udf(T.BinaryType())
+def half_bytes(vec: pd.Series) -> pd.Series:
+    """Vectors as half floats, least byte first."""
+    return vec.map(lambda v: None if v is None else _halves(v))
+
+
 def read_cache_lines(spark: SparkSession, path: str, model: str) -> DataFrame:
     """(hash, model, dim, vec, line) of a JSON Lines cache h, m, d, v (base64 of half floats): lines that are broken,
     of another model, or whose hash or vector has the wrong length are left out; of a key, the first line stays."""
@@ -120,7 +189,8 @@ def read_cache_lines(spark: SparkSession, path: str, model: str) -> DataFrame:
     def halves(b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or len(x) % 2 else np.frombuffer(bytes(x), "<f2").astype(np.float32).tolist() for x in b], dtype=object)
 
-    raw = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    # files in the order of their names, lines in that of the files
+    raw = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line"))
     j = raw.select("line", F.from_json("value", "h string, m string, d int, v string").alias("j")).select("line", "j.*")
     ok = j.filter((F.col("m") == model) & F.col("h").rlike("^[0-9a-fA-F]{64}$") & F.col("v").rlike("^[A-Za-z0-9+/]*={0,2}$") & (F.length("v") % 4 == 0))
     got = ok.select(F.lower("h").alias("hash"), F.col("m").alias("model"), F.col("d").alias("dim"), halves(F.unbase64("v")).alias("vec"), "line")
@@ -128,8 +198,19 @@ def read_cache_lines(spark: SparkSession, path: str, model: str) -> DataFrame:
 
 
 def append_cache(vectors: DataFrame, path: str, model: str) -> None:
-    """Append vectors(hash, vec) to a Parquet cache; readers take the first of a key."""
-    vectors.select("hash", F.lit(model).alias("model"), F.size("vec").alias("dim"), F.col("vec").cast("array<float>").alias("vec"), F.current_timestamp().alias("line")).write.mode("append").parquet(path)
+    """Append vectors(hash, vec) to a JSON Lines cache, a line each; readers take the first of a key.
+
+    Each call's files are named by the time, so that later lines come after earlier ones.
+    """
+    line = F.to_json(F.struct(F.col("hash").alias("h"), F.lit(model).alias("m"), F.size("vec").alias("d"), F.base64(half_bytes("vec")).alias("v")))
+    temp, spark = f"{path}/_{uuid.uuid4().hex}", vectors.sparkSession
+    vectors.select(line.alias("value")).write.text(temp)
+    fs, p = _fs(spark, temp)
+    stamp, hadoop = f"{time.time_ns():020d}", spark._jvm.org.apache.hadoop.fs
+    for x in sorted((x.getPath() for x in fs.listStatus(p)), key=lambda x: x.getName()):
+        if x.getName().startswith("part-"):
+            fs.rename(x, hadoop.Path(f"{path}/{stamp}-{x.getName()}"))
+    fs.delete(p, True)
 
 
 def save_manifest(rows: DataFrame, path: str) -> None:
