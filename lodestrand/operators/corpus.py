@@ -49,7 +49,7 @@ def catalogue_fields(raw: DataFrame) -> DataFrame:
 def catalogue_fields_plain(raw: DataFrame) -> DataFrame:
     """The variant that keeps the first class whole and takes a death year from a full lifespan alone."""
     c = F.col
-    year = F.regexp_extract(F.coalesce("Authors", F.lit("")), r"(\d{4})\??-(\d{4})", 2)
+    year = F.regexp_extract(F.coalesce("Authors", F.lit("")), r"\b\d{4}\s*-\s*(\d{4})\b", 1)
     return raw.filter(c("Type") == "Text").select(c("`Text#`").cast("string").alias("book"), c("Title").alias("title"), F.coalesce("Authors", F.lit("")).alias("author"), c("Language").alias("language"), F.trim(F.element_at(F.split(F.coalesce("LoCC", F.lit("")), ";"), 1)).alias("locc"), F.coalesce("Subjects", F.lit("")).alias("subjects"), F.when(year != "", year.cast("int")).alias("death_year"))
 
 

@@ -63,16 +63,6 @@ def split_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.explode(raw.split_spans(F.col("data"))).alias("s")).select("doc_id", "s.para", "s.off", "s.len")
 
 
-@query(None)
-def shingle_codes(spark: SparkSession, sf: str) -> DataFrame:
-    d = docs(spark, sf).select("doc_id", raw_code(F.encode("text", "UTF-8")).alias("c"))
-    return d.select("doc_id", codes.code_hex([F.get("c", 0), F.get("c", 1)]).alias("code"))
-
-
-def raw_code(data):  # noqa: ANN001, ANN201
-    return codes.shingle_lsh(data)
-
-
 _START, _END = "*** START OF THE PROJECT GUTENBERG EBOOK X ***", "*** END OF THE PROJECT GUTENBERG EBOOK X ***"
 
 

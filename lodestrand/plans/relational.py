@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codes, formula, raw, text
+from ..functions import codes, text
 from ..operators import corpus, evaluate, graph, scan
-from ..session import ship
 
 QUERIES: dict = {}
 
@@ -105,24 +104,3 @@ _BOOKS = ["/1/6/0/1602.txt", "/1/2/8/2/12823/12823-0.txt", "/1/2/8/2/12823/12823
 @query("SELECT * FROM (VALUES ('1602', '/1/6/0/1602.txt'), ('12823', '/1/2/8/2/12823/12823-0.txt'), ('1007', '/1007/old/old/3ddcc10.txt'), (NULL, '/none/readme.txt'), ('55', '/5/5/55.txt')) t(book, path)")
 def best_files(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.best_files(spark.createDataFrame([(p,) for p in _BOOKS], "path string")).select("book", "path")
-
-
-_FORMULAS = ["=SUM(A1,B1)", "=sum($B$1, A1)", "=A1+B1", "=B1+A1", "=IF(MAX(A1;2)>1,\"x\"\"y\",Sheet1!C3)", "=Ω", "text", "="]
-
-
-@query(None)
-def formula_identity(spark: SparkSession, sf: str) -> DataFrame:
-    ship(spark)
-    df = spark.createDataFrame([(f,) for f in _FORMULAS], "formula string")
-    return df.withColumn("h", formula.formula_hash("formula")).select("formula", "h.hash", "h.canonical")
-
-
-@query(None)
-def encoding_repair(spark: SparkSession, sf: str) -> DataFrame:
-    """Names of parts in four encodings, classified and repaired."""
-    ship(spark)
-    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.concat(F.col("p_name"), F.lit(" é’")).alias("name"))
-    k = F.col("p_partkey") % 4
-    data = F.when(k == 0, F.encode("name", "UTF-8")).when(k == 1, F.concat(F.encode(F.substring("name", 1, 9), "UTF-8"), F.unhex(F.lit("92E9")))).when(k == 2, F.concat(F.encode(F.substring("name", 1, 9), "UTF-8"), F.unhex(F.lit("E9")))).otherwise(F.encode(F.regexp_replace("name", "[^ -~]", ""), "UTF-8"))
-    d = p.withColumn("data", data)
-    return d.select("p_partkey", text.encoding_class(F.col("data")).alias("encoding"), raw.clean_text("data").alias("text"))
