@@ -69,16 +69,25 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack_sequences),
 ]
 
-#: The stages aren't expressible in SQL: tests hold run() against the stages' brute-force versions.
+#: A trained network isn't expressible in SQL: test_run_equals_brute_force holds run() against plain loops.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each written to the shared folder and read again by the next."""
+    """Apply the stages to documents, each written to the shared folder and read again by the next.
+
+    What a stage wrote goes once the next one has written its own; the last one's rows stay.
+    """
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         out = f"{base}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            fs.delete(path(before), True)
+        before = out
     return docs
