@@ -13,7 +13,7 @@ those that score highest. While training, words are exchanged for others' and jo
 they have in common, wherever in a word it stands; the first epochs learn from spelling alone.
 
 Training takes at most `sample` rows of each label (by hash of the id, of texts up to `sample_chars`
-characters), on the driver; scoring reads every text whole. Nothing but the text enters a score.
+characters), on the driver, and `most` windows of each; scoring reads every text whole. Nothing but the text enters a score.
 
 Defined results: null, empty and wordless texts score 0; equal texts score equally; repeated rows are scored each;
 with labels of one kind only, or none, the score is that share everywhere, 0 without labels; an empty
@@ -243,8 +243,8 @@ def backward(p: dict, dlogit: np.ndarray, mask: np.ndarray, state: tuple) -> tup
     return g, np.concatenate([dxf, dxb[:, ::-1]], axis=2)
 
 
-def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 10, steps: int = 40, batch: int = 128, swapped: float = 0.5, glue: float = 0.25, left_out: float = 0.5, spelling: int = 6, at: float = 0.7, alarms: float = 0.003, seed: int = 11) -> Model | float:
-    """A model, or a constant score where the labels are of one kind. steps: batches of an epoch; swapped, glue, left_out: shares of words exchanged, joined with letters, without embedding; spelling: epochs of spelling alone; at, alarms: score that this share of clean documents may reach."""
+def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 10, steps: int = 40, batch: int = 112, most: int = 8, swapped: float = 0.5, glue: float = 0.25, left_out: float = 0.5, spelling: int = 6, at: float = 0.7, alarms: float = 0.003, margin: float = 0.5, seed: int = 11) -> Model | float:
+    """A model, or a constant score where the labels are of one kind. steps: batches of an epoch; most: windows taken of a document; swapped, glue, left_out: shares of words exchanged, joined with letters, without embedding; spelling: epochs of spelling alone; at, alarms, margin: score that this share of clean documents may come so near to."""
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return float(y.max()) if len(y) else 0.0
@@ -253,7 +253,7 @@ def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 10
     docs = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in words_of(t)], np.int32) for t in texts]
     raw = bare(["", *vocab])
     word, chars = spelt(["", *vocab])
-    by_length = np.argsort([len(x) for x in raw], kind="stable")
+    lengths = np.array([len(x) for x in raw])
     seen = np.bincount(np.concatenate([np.unique(word[d]) for d in docs]).astype(np.int64), minlength=WORDS)
     p = {
         "word": np.zeros((WORDS, DIM), F32), "run": np.zeros((GRAMS, 8), F32), "char": uniform(rng, 256, 8) * 8, "w": uniform(rng, INPUT, 6 * HIDDEN), "b": np.zeros(6 * HIDDEN, F32), "uf": uniform(rng, HIDDEN, 3 * HIDDEN), "ub": uniform(rng, HIDDEN, 3 * HIDDEN),
@@ -265,13 +265,16 @@ def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 10
     speed, rate = {k: np.zeros_like(p[k]) for k in ("word", "run")}, 4.0
     model = Model(p, width)
 
+    # a fifth of the clean documents aren't learnt from: the bias is set by them, by all of their windows
+    apart = np.zeros(len(docs), bool)
+    apart[rng.permutation(np.flatnonzero(y == 0))[: int((y == 0).sum()) // 5]] = True
     starts = [model.windows(len(d)) for d in docs]
+    starts = [s if a or len(s) <= most else np.sort(rng.choice(s, most, replace=False)) for s, a in zip(starts, apart)]
     padded = [np.concatenate([d, np.zeros(width, np.int32)]) for d in docs]
     all_ids = np.concatenate([padded[i][s[:, None] + np.arange(width)] for i, s in enumerate(starts)])
     owner = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
-    # a fifth of the clean documents aren't learnt from: the bias is set by them
-    apart = np.zeros(len(docs), bool)
-    apart[rng.permutation(np.flatnonzero(y == 0))[: int((y == 0).sum()) // 5]] = True
+    used = np.unique(all_ids)
+    used = used[np.argsort(lengths[used], kind="stable")]
     toxic, clean = np.flatnonzero(y[owner] == 1), np.flatnonzero((y[owner] == 0) & ~apart[owner])
     filler = [raw[i] for d in docs for i in d[:20] if raw[i]] or [b"e"]
     others = np.concatenate([docs[i] for i in np.flatnonzero((y == 0) & ~apart)] + [np.zeros(1, np.int32)])
@@ -295,9 +298,9 @@ def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 10
 
     def projected() -> np.ndarray:
         """Projected inputs of all words, by length, so that few characters are padding."""
-        rows = np.empty((len(word), 6 * HIDDEN), F32)
-        for a in range(0, len(word), 2048):
-            i = by_length[a : a + 2048]
+        rows = np.zeros((len(word), 6 * HIDDEN), F32)
+        for a in range(0, len(used), 2048):
+            i = used[a : a + 2048]
             c = chars[i]
             rows[i] = inputs(p, word[i], c[:, int((c == 0).all(axis=0).sum()) :])[0] @ p["w"] + p["b"]
         return rows
@@ -311,11 +314,12 @@ def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 10
         if epoch == epochs - 2:
             adam.rate /= 5
             rate /= 5
-        if epoch % 2 or epoch >= epochs // 2:
+        if epoch % 2:
             rows = projected()
             alone = np.concatenate([forward(p, rows[a : a + 4096, None], None)[0] for a in range(0, len(rows), 4096)])
             alone[0] = -np.inf
-        pos, neg = choose(None if epoch < epochs // 2 else ranked(rows))
+        if epoch % 2 or epoch < epochs // 2:
+            pos, neg = choose(None if epoch < epochs // 2 else ranked(rows))
         for _ in range(steps):
             half = batch // 2
             ids = all_ids[np.concatenate([rng.choice(pos, half), rng.choice(neg, batch - half)])]
@@ -327,29 +331,42 @@ def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 10
             mask = (ids > 0).astype(F32)
             u, back = np.unique(ids, return_inverse=True)
             back = back.reshape(ids.shape)
-            known = ((seen[word[u]] > 1) & (rng.random(len(u)) >= (1 if epoch < spelling else left_out))).astype(F32)[:, None]  # words of one document alone have no embedding
+            # words of one document alone have no embedding
+            known = ((seen[word[u]] > 1) & (rng.random(len(u)) >= (1 if epoch < spelling else left_out))).astype(F32)[:, None]
             words = [raw[i] for i in u]
             within = joined(words, filler, glue, rng)
             known[[i for i, w in enumerate(within) if w]] = 0
-            c = marked([w or x for w, x in zip(within, words)])
-            x, past = inputs(p, word[u], c, keep=True)
+            words = [w or x for w, x in zip(within, words)]
+            # short words and long ones apart, so that few characters are padding
+            size = np.array([len(w) for w in words])
+            parts = [i for i in (np.flatnonzero(size <= np.median(size)), np.flatnonzero(size > np.median(size))) if len(i)]
+            x, pasts = np.empty((len(u), INPUT), F32), []
+            for i in parts:
+                x[i], past = inputs(p, word[u[i]], marked([words[k] for k in i]), keep=True)
+                pasts.append(past)
+            x[:, :DIM] *= known
             logit, state = forward(p, (x @ p["w"] + p["b"])[back], mask, keep=True)
             g, dx = backward(p, ((sigmoid(logit) - t) / batch).astype(F32), mask, state)
             drows = added(back.ravel(), dx.reshape(-1, dx.shape[2]), len(u))
             g["w"], g["b"] = x.T @ drows, drows.sum(axis=0)
             du = drows @ p["w"].T
-            more, de = spellings_back(p, du[:, DIM:], past)
-            adam.step(g | more)
+            grads, asked = g, []
+            for i, past in zip(parts, pasts):
+                more, de = spellings_back(p, du[i, DIM:], past)
+                grads = {k: grads.get(k, 0) + more[k] if k in more else v for k, v in (more | grads).items()}
+                asked.append((past[1].ravel(), de.reshape(-1, 8) * past[3].reshape(-1, 1)))
+            adam.step(grads)
             # plain steps: a row grows with the number of windows that ask for it
-            for k, at_, d in (("word", word[u], du[:, :DIM] * known), ("run", past[1].ravel(), de.reshape(-1, 8) * past[3].reshape(-1, 1))):
+            for k, wants in (("word", [(word[u], du[:, :DIM] * known)]), ("run", asked)):
                 speed[k] *= F32(0.9)
-                np.add.at(speed[k], at_, d)
+                for at_, d in wants:
+                    np.add.at(speed[k], at_, d)
                 p[k] -= F32(rate) * speed[k]
                 p[k] *= F32(1 - 1e-4)
     # windows of both labels were trained on in equal number: the bias is lowered until hardly a clean document set apart has one at `at`
     highest = np.full(len(docs), -np.inf)
     np.maximum.at(highest, owner, ranked(projected()))
-    p["bo"] -= F32(max(0.0, np.quantile(highest[apart if apart.sum() >= 20 else y == 0], 1 - alarms) - np.log(at / (1 - at))))
+    p["bo"] -= F32(max(0.0, np.quantile(highest[apart if apart.sum() >= 20 else y == 0], 1 - alarms) + margin - np.log(at / (1 - at))))
     return model
 
 
