@@ -69,8 +69,8 @@ def separation(pairs: DataFrame, value: str = "distance", kind: str = "kind") ->
 
 
 def round_robin(items: DataFrame, group: str, limit: int, seed: int = 0, idx: str = "idx") -> DataFrame:
-    """Items taken from each group in turn, in an order fixed by the seed."""
-    key = lambda *c: F.xxhash64(*c, F.lit(seed))
+    """Items taken from each group in turn, in an order fixed by the seed: that of hashes any system has."""
+    key = lambda c: F.sha2(F.concat_ws(",", F.col(c).cast("string"), F.lit(seed)), 256)
     turn = F.row_number().over(Window.partitionBy(group).orderBy(key(idx), idx))
     return items.withColumn("turn", turn).orderBy("turn", key(group), group).limit(limit)
 
@@ -102,6 +102,19 @@ def multiset_jaccard(a: DataFrame, b: DataFrame, ids: tuple[str, str] = ("a", "b
     return both.select(x, y, (F.col("common") / (F.col("ta") + F.col("tb") - F.col("common"))).alias("jaccard"))
 
 
+def overlap_correlation(counts: DataFrame, vectors: DataFrame, idx: str = "doc_id") -> DataFrame:
+    """(pearson, pairs): how multiset overlap of counts(idx, token, n) goes with cosine of vectors(idx, vec), over items and their next ones."""
+    from .vectors import cosine
+
+    total = counts.groupBy(idx).agg(F.sum("n").alias("t"))
+    a, b = counts.select(F.col(idx).alias("a"), "token", F.col("n").alias("na")), counts.select((F.col(idx) - 1).alias("a"), "token", F.col("n").alias("nb"))
+    common = a.join(b, ["a", "token"]).groupBy("a").agg(F.sum(F.least("na", "nb")).alias("k"))
+    own, other = (total.select((F.col(idx) - s).alias("a"), F.col("t").alias(f"t{s}")) for s in (0, 1))
+    v, w = (vectors.select((F.col(idx) - s).alias("a"), F.col("vec").alias(f"v{s}")) for s in (0, 1))
+    j = common.join(own, "a").join(other, "a").join(v, "a").join(w, "a")
+    return j.agg(F.round(F.corr(F.col("k") / (F.col("t0") + F.col("t1") - F.col("k")), cosine(F.col("v0"), F.col("v1"))), 6).alias("pearson"), F.count("*").alias("pairs"))
+
+
 def confusion(scored: DataFrame, score: str, truth: str, threshold: float) -> DataFrame:
     yes = F.col(score) >= threshold
     n = lambda c: F.count_if(c)

@@ -109,13 +109,10 @@ def jaccard_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.multiset_jaccard(tok(d, "doc_id", "a"), tok(b, "item_id", "b")).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256(doc_id::VARCHAR), doc_id) AS turn FROM documents) SELECT doc_id, source, turn::INTEGER AS turn FROM r ORDER BY turn, sha256(source) LIMIT 100")
+@query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256(doc_id || ',0'), doc_id) AS turn FROM documents) SELECT doc_id, source, turn::INTEGER AS turn FROM r ORDER BY turn, sha256(source || ',0'), source LIMIT 100")
 def round_robin_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """The same turn-taking as round_robin, in an order that SQL has as well."""
-    from pyspark.sql import Window
-
-    turn = F.row_number().over(Window.partitionBy("source").orderBy(F.sha2(F.col("doc_id").cast("string"), 256), "doc_id"))
-    return docs(spark, sf).select("doc_id", "source", turn.alias("turn")).orderBy("turn", F.sha2("source", 256)).limit(100)
+    """A hundred documents, taken from the sources in turn."""
+    return evaluate.round_robin(docs(spark, sf).select("doc_id", "source"), "source", 100, idx="doc_id").select("doc_id", "source", "turn")
 
 
 @query("SELECT doc_id FROM documents WHERE lang = 'en'")
@@ -134,7 +131,10 @@ def pages_by_host(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy(F.lower(F.coalesce(F.regexp_extract("url", "^[A-Za-z]+://([^/?#:]+)", 1), F.lit(""))).alias("host")).agg(F.count("*").alias("pages"), F.max(F.length("html")).cast("long").alias("longest"))
 
 
-@query("SELECT count(*) AS files, count(*) FILTER (length(text) >= 40) AS written, count(*) FILTER (length(text) < 40) AS skipped, 0::BIGINT AS failed FROM documents")
+@query("SELECT count(*) AS files, count(*) FILTER (length(text) >= 200) AS written, count(*) FILTER (length(text) >= 90 AND length(text) < 200) AS skipped, count(*) FILTER (length(text) < 90) AS failed, (SELECT string_agg(p || ' of ' || n, ';' ORDER BY p) FROM (SELECT doc_id::VARCHAR AS p, length(text) AS n FROM documents WHERE length(text) < 90 ORDER BY p LIMIT 20)) AS errors FROM documents")
 def pipeline_report(spark: SparkSession, sf: str) -> DataFrame:
-    r = docs(spark, sf).select(F.col("doc_id").cast("string").alias("path"), F.when(F.length("text") >= 40, "written").otherwise("skipped").alias("status"), F.lit(None).cast("string").alias("error"))
-    return corpus.pipeline_report(r).select("files", "written", "skipped", "failed")
+    """Counts by what became of documents, and the first errors by path."""
+    n, path = F.length("text"), F.col("doc_id").cast("string")
+    status = F.when(n >= 200, "written").when(n >= 90, "skipped").otherwise("error")
+    r = docs(spark, sf).select(path.alias("path"), status.alias("status"), F.when(n < 90, F.concat(path, F.lit(" of "), n.cast("string"))).alias("error"))
+    return corpus.pipeline_report(r).withColumn("errors", F.array_join(F.transform("errors", lambda e: e["error"]), ";"))

@@ -79,10 +79,12 @@ def one_sided_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.one_sided(_events(spark, sf).select(F.col("event_type").alias("verdict"))).withColumn("share", F.round("share", 6))
 
 
-@query("SELECT round(corr(l_quantity::DOUBLE, l_extendedprice::DOUBLE), 6) AS pearson FROM lineitem")
+@query("WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS e, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM embeddings JOIN documents ON vec_id = doc_id), c AS (SELECT vec_id, w, count(*) AS n FROM t GROUP BY ALL), s AS (SELECT vec_id, sum(n) AS n FROM c GROUP BY vec_id), m AS (SELECT a.vec_id AS a, sum(least(a.n, b.n)) AS k FROM c a JOIN c b ON a.w = b.w AND b.vec_id = a.vec_id + 1 GROUP BY a.vec_id) SELECT round(corr(m.k / (x.n + y.n - m.k), list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS pearson, count(*) AS pairs FROM m JOIN s x ON x.vec_id = m.a JOIN s y ON y.vec_id = m.a + 1 JOIN embeddings p ON p.vec_id = m.a JOIN embeddings q ON q.vec_id = m.a + 1")
 def pearson(spark: SparkSession, sf: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/lineitem.parquet")
-    return df.agg(F.round(F.corr(F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double")), 6).alias("pearson"))
+    """Correlation of the overlap of words and the cosine, over neighbouring documents."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id")
+    c = d.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    return evaluate.overlap_correlation(c, d.select("doc_id", "vec"))
 
 
 @query("SELECT n::INTEGER AS packed, (n // 243 % 3 - 1)::INTEGER AS t0, (n // 81 % 3 - 1)::INTEGER AS t1, (n // 27 % 3 - 1)::INTEGER AS t2, (n // 9 % 3 - 1)::INTEGER AS t3, (n // 3 % 3 - 1)::INTEGER AS t4, (n % 3 - 1)::INTEGER AS t5 FROM range(729) t(n)")
