@@ -243,8 +243,8 @@ def backward(p: dict, dlogit: np.ndarray, mask: np.ndarray, state: tuple) -> tup
     return g, np.concatenate([dxf, dxb[:, ::-1]], axis=2)
 
 
-def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 10, steps: int = 40, batch: int = 112, most: int = 8, swapped: float = 0.5, glue: float = 0.25, left_out: float = 0.5, spelling: int = 6, at: float = 0.7, alarms: float = 0.003, margin: float = 0.5, seed: int = 11) -> Model | float:
-    """A model, or a constant score where the labels are of one kind. steps: batches of an epoch; most: windows taken of a document; swapped, glue, left_out: shares of words exchanged, joined with letters, without embedding; spelling: epochs of spelling alone; at, alarms, margin: score that this share of clean documents may come so near to."""
+def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 10, steps: int = 40, batch: int = 64, most: int = 8, swapped: float = 0.5, glue: float = 0.25, left_out: float = 0.5, spelling: int = 6, at: float = 0.7, alarms: float = 0.003, way: float = 0.3, seed: int = 11) -> Model | float:
+    """A model, or a constant score where the labels are of one kind. steps: batches of an epoch; most: windows taken of a document; swapped, glue, left_out: shares of words exchanged, joined with letters, without embedding; spelling: epochs of spelling alone; at, alarms, way: where the score lies that hardly a clean document reaches."""
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return float(y.max()) if len(y) else 0.0
@@ -363,10 +363,13 @@ def train(texts: list[str], labels: list[int], width: int = 32, epochs: int = 10
                     np.add.at(speed[k], at_, d)
                 p[k] -= F32(rate) * speed[k]
                 p[k] *= F32(1 - 1e-4)
-    # windows of both labels were trained on in equal number: the bias is lowered until hardly a clean document set apart has one at `at`
+    # windows of both labels were trained on in equal number: the bias is lowered until `at` lies beyond what hardly a clean
+    # document set apart reaches, by a share of the way from there to the middle toxic one
     highest = np.full(len(docs), -np.inf)
     np.maximum.at(highest, owner, ranked(projected()))
-    p["bo"] -= F32(max(0.0, np.quantile(highest[apart if apart.sum() >= 20 else y == 0], 1 - alarms) + margin - np.log(at / (1 - at))))
+    clear = np.quantile(highest[apart if apart.sum() >= 20 else y == 0], 1 - alarms)
+    beyond = max(0.5, way * (np.median(highest[y == 1]) - clear))
+    p["bo"] -= F32(max(0.0, clear + beyond - np.log(at / (1 - at))))
     return model
 
 
