@@ -5,7 +5,7 @@ of similar ones, each with the union of its members' tokens. A query meets a gro
 they share enough tokens of their prefixes (under one global order of tokens, a set's first
 n - ceil(t n) + k tokens hold k of every set it can be linked to, k growing with n); then the group's union bounds the
 overlap that any member can have with the query, and only groups whose bound reaches the threshold are
-opened and their members compared. A group is sent as one row: its union, and each member's places in it.
+opened and their members compared.
 
 The global order puts rare tokens first. It is (kind, document frequency, hash): of sets above `small` tokens
 a fixed quarter of the hash space is counted exactly and comes first, others follow by hash, tokens that
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import AT_END, arrow_map, batch_rows, cut, join_small, pieces, text_of
+from .common import AT_END, arrow_map, cut, join_small, pieces, text_of
 
 U = np.uint64
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U)
@@ -227,73 +227,26 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], num: int, den: int, above
     return linked
 
 
-def packed(sets: list[np.ndarray]) -> tuple[bytes, bytes]:
-    """Sets of sorted tokens as their union and, for each, its places in it: bits, steps of a byte, or numbers, whichever is least."""
-    union = np.unique(np.concatenate(sets))
-    out = []
-    for x in sets:
-        at = np.searchsorted(union, x).astype(np.uint32)
-        step = np.diff(at, prepend=np.uint32(0))
-        as_bits, as_steps = -(-len(union) // 8), len(x) if not len(x) or step.max() < 256 else 1 << 62
-        if as_bits <= min(as_steps, 4 * len(x)):
-            row = np.zeros(len(union), bool)
-            row[at] = True
-            kind, body = 0, np.packbits(row).tobytes()
-        elif as_steps <= 4 * len(x):
-            kind, body = 1, step.astype(np.uint8).tobytes()
-        else:
-            kind, body = 2, at.tobytes()
-        out.append(np.array([kind, len(body)], "<u4").tobytes() + body)
-    return union.tobytes(), b"".join(out)
-
-
-def unpacked(union: bytes, members: bytes) -> list[np.ndarray]:
-    u, at, out = np.frombuffer(union, U), 0, []
-    while at < len(members):
-        kind, size = np.frombuffer(members, "<u4", 2, at)
-        body = members[at + 8 : at + 8 + int(size)]
-        at += 8 + int(size)
-        if kind == 0:
-            out.append(u[np.unpackbits(np.frombuffer(body, np.uint8), count=len(u)).astype(bool)])
-        else:
-            out.append(u[np.cumsum(np.frombuffer(body, np.uint8)) if kind == 1 else np.frombuffer(body, np.uint32)])
-    return out
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (g, cid): a row for each group, its members packed."""
-    schema = pa.schema([("g", pa.int64()), ("band", pa.int32()), ("cids", pa.binary()), ("copies", pa.binary()), ("union", pa.binary()), ("members", pa.binary())])
-    now, held = None, []
-
-    def out() -> pa.RecordBatch:
-        union, members = packed([np.frombuffer(x[3], U) for x in held])
-        row = {"g": now, "band": held[0][0], "cids": np.array([x[1] for x in held], np.int64).tobytes(), "copies": np.array([x[2] for x in held], np.int64).tobytes(), "union": union, "members": members}
-        return pa.RecordBatch.from_pylist([row], schema=schema)
-
-    for b in batches:
-        for g, band, cid, copies, blob in zip(*(c.to_pylist() for c in b.columns)):
-            if g != now:
-                if held:
-                    yield out()
-                now, held = g, []
-            if not held or held[-1][1] != cid:  # repeated rows of an id come one after another
-                held.append((band, cid, copies, blob))
-    if held:
-        yield out()
-
-
 def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int, small: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (group, slot, partner): a packed group, then each group it meets. Out: (cid, links, to): links to other classes, an edge or null."""
-    task, left = None, None
-
-    def result(left: tuple, right: tuple | None, band: int) -> pa.RecordBatch:
-        own = right is None
-        ids_a, wa, a = left
-        ids_b, wb, b = left if own else right
+    """Rows sorted by (group, slot, partner): a group's members, then those of each group it meets. Out: (cid, links, to): links to other classes, an edge or null."""
+    task, other, band, rows = None, None, 0, ([], [])
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        """What the group has with the one just read; the group with itself in its first slot alone."""
+        left, right = rows
+        if right or (task[1] == 0 and len(left) > 1 and other is None):
+            yield result()
+
+    def result() -> pa.RecordBatch:
+        left, right = rows
+        own = not right
+        a = [np.frombuffer(x[2], U) for x in left]
+        b = a if own else [np.frombuffer(x[2], U) for x in right]
         m = overlaps(a, b, num, den, small if band else 0)
         if own:
             np.fill_diagonal(m, False)
-        ids = ids_a + ([] if own else ids_b)
+        wa, wb = np.array([x[1] for x in left]), np.array([x[1] for x in (left if own else right)])
+        ids = [x[0] for x in left] + ([] if own else [x[0] for x in right])
         links = list(m @ wb) + ([] if own else list(wa @ m))
         # connected within this pair: one edge for each class, not one for each link
         root = list(range(len(ids)))
@@ -304,7 +257,7 @@ def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int, small: int)
                 i = root[i]
             return i
 
-        shift = 0 if own else len(ids_a)
+        shift = 0 if own else len(left)
         for i, j in zip(*np.nonzero(m)):
             x, y = find(int(i)), find(int(j) + shift)
             if x != y:
@@ -314,14 +267,20 @@ def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int, small: int)
         return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([int(links[i]) for i in keep], pa.int64()), pa.array([to[i] for i in keep], pa.int64())], names=["cid", "links", "to"])
 
     for b in batches:
-        for g1, slot, g2, band, cids, copies, union, members in zip(*(c.to_pylist() for c in b.columns)):
-            group = np.frombuffer(cids, np.int64).tolist(), np.frombuffer(copies, np.int64), unpacked(union, members)
-            if g2 is None:
-                task, left = (g1, slot), group
-                if not slot and len(group[0]) > 1:  # the group with itself, in its first slot alone
-                    yield result(left, None, band)
-            elif (g1, slot) == task:
-                yield result(left, group, band)
+        for g1, slot, g2, which, cid, copies, blob in zip(*(c.to_pylist() for c in b.columns)):
+            if (g1, slot) != task:
+                if rows[0]:
+                    yield from ended()
+                task, other, band, rows = (g1, slot), None, which, ([], [])
+            elif g2 != other:
+                yield from ended()
+                rows = (rows[0], [])
+            other = g2
+            side = rows[g2 is not None]
+            if not side or side[-1][0] != cid:  # repeated rows of an id come one after another
+                side.append((cid, copies, blob))
+    if rows[0]:
+        yield from ended()
 
 
 def similar(docs: DataFrame, n: int = 5, percent: int = 80, small: int = 64, part: int = 4, run: int = 100_000, group_tokens: int = 250_000, partners: int = 32, hot_share: int = 1000, max_broadcast: int = 200_000) -> DataFrame:
@@ -352,15 +311,11 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, small: int = 64, par
     seeds = active.groupBy("seed", "band").agg(F.ceil(F.sum("n") / group_tokens).alias("chunks"))
     grouped = cut(join_small(active, seeds, ["seed", "band"], "inner", max_broadcast).select("key", "n", F.xxhash64("seed", "band", F.pmod("key", "chunks")).alias("g"), "band", "prefix"))
     matrix = grouped.select("g", "n", F.explode("prefix").alias("token")).groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    # a token of many groups is spread over several tasks: one side by hash, the other in each
-    wide = F.ceil(F.col("groups") / 64).alias("salts")
-    more = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token", wide)
-    matrix = cut(matrix.join(more, "token"))
-    a, b = (matrix.select("token", "salts", *[F.col(c).alias(f"{c}{s}") for c in ("g", "lo", "hi")]) for s in "12")
-    a = a.withColumn("salt", F.pmod(F.xxhash64("g1"), "salts")).drop("salts")
-    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    more = matrix.groupBy("token").count().filter("count > 1").select("token")
+    matrix = cut(matrix.join(more, "token", "left_semi"))
+    a, b = (matrix.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("g", "lo", "hi")]) for s in "12")
     fits = (F.col("g1") < F.col("g2")) & (F.col("hi1") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo1") * num)
-    both = a.join(b, ["token", "salt"]).filter(fits).groupBy("g1", "g2").agg(F.count("*").alias("common"), F.min(F.least("lo1", "lo2")).alias("lo"))
+    both = a.join(b, "token").filter(fits).groupBy("g1", "g2").agg(F.count("*").alias("common"), F.min(F.least("lo1", "lo2")).alias("lo"))
     pairs = both.filter(F.col("common") >= 1 + F.floor(F.col("lo") / 64)).select("g1", "g2")
     selves = grouped.groupBy("g").count().filter("count > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     pairs = cut(pairs.unionByName(selves))
@@ -377,10 +332,8 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, small: int = 64, par
     slots = pairs.groupBy("g1").agg(F.ceil(F.count("*") / partners).alias("slots"))
     left = slots.select(F.col("g1").alias("g"), F.col("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), F.lit(None).cast("long").alias("g2"))
     right = pairs.filter("g1 <> g2").join(slots, "g1").select(F.col("g2").alias("g"), "g1", F.pmod(F.xxhash64("g2"), "slots").alias("slot"), "g2")
-    groups = arrow_map(sets_of.repartition(parts, "g").sortWithinPartitions("g", "cid"), _pack, "g long, band int, cids binary, copies binary, union binary, members binary")
-    work = left.unionByName(right).join(groups, "g").select("g1", "slot", "g2", "band", "cids", "copies", "union", "members")
-    with batch_rows(spark, 64):  # a row is a group
-        found = cut(arrow_map(work.repartition(parts, "g1", "slot").sortWithinPartitions("g1", "slot", F.col("g2").asc_nulls_first()), lambda it: _compare(it, num, den, small), "cid long, links long, to long"))
+    work = left.unionByName(right).join(sets_of, "g").select("g1", "slot", "g2", "band", "cid", "copies", "blob")
+    found = cut(arrow_map(work.repartition(parts, "g1", "slot").sortWithinPartitions("g1", "slot", F.col("g2").asc_nulls_first(), "cid"), lambda it: _compare(it, num, den, small), "cid long, links long, to long"))
     return _finish(rows, classes, found, kind, max_broadcast)
 
 

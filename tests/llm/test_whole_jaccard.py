@@ -1,18 +1,11 @@
-"""Packed groups come back as they were."""
-
-import numpy as np
+"""Repeated rows of one id."""
 
 from lodestrand.llm import jaccard
 
 
-def test_groups_packed_and_unpacked():
-    rng = np.random.default_rng(2)
-    pool = rng.integers(0, 2**63, 5000).astype(np.uint64)
-    alike = [np.unique(np.concatenate([pool[:300], rng.choice(pool, 5)])) for _ in range(40)]
-    sparse = [np.unique(rng.choice(pool, 9)) for _ in range(100)] + [np.unique(pool)]
-    mixed = [np.unique(rng.choice(pool, 400)) for _ in range(60)]
-    for sets in (alike, sparse, mixed, [pool[:1]], [np.unique(pool)] * 3):
-        union, members = jaccard.packed(sets)
-        back = jaccard.unpacked(union, members)
-        assert len(back) == len(sets) and all(np.array_equal(a, b) for a, b in zip(sets, back))
-    assert len(members) < 3 * 5000 and len(jaccard.packed(alike)[1]) < 40 * 150
+def test_repeated_rows_of_an_id_count_once_as_a_class(spark):
+    """Rows repeated whole are documents of their own, and their class meets others once."""
+    t = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, t), (1, t), (1, t), (2, t + " x"), (3, "y " + t), (4, "other words here and nothing more"), (4, "other words here and nothing more")]
+    got = {r.doc_id: (r.n_similar, r.component_id) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (1, 4)}
