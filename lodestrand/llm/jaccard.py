@@ -22,6 +22,7 @@ never named as a component unless alone; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -29,11 +30,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import AT_END, arrow_map, cut, join_small, pieces, text_of
+from .common import AT_END, arrow_map, cut, pieces, text_of
 
 U = np.uint64
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U)
@@ -154,14 +155,13 @@ def _emit(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray, num: int,
 
 
 def _shared(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, key): those whose token two keys or more have, with their number, `run` at most."""
+    """Of rows sorted by (token, key): those whose token two keys or more have, with their number if counted, `run` at most."""
     tok = key = meta = np.zeros(0, np.int64)
     full = None  # a token whose first `run` rows have gone out
 
     def out(sel: np.ndarray, t: np.ndarray, k: np.ndarray, m: np.ndarray, freq: np.ndarray) -> pa.RecordBatch:
         t, k, m = t[sel], k[sel], m[sel]
-        kind = m >> 60
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array((m >> 59 & 1).astype(np.int32)), pa.array(m >> 29 & ((1 << 30) - 1)), pa.array(m & ((1 << 29) - 1)), pa.array(kind.astype(np.int32)), pa.array(np.where(kind == 0, freq[sel], 0)), pa.array(t)], names=["key", "band", "n", "e", "kind", "freq", "token"])
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(m), pa.array(np.where(m >> 60 == 0, freq[sel], 0)), pa.array(t)], names=["key", "meta", "freq", "token"])
 
     def done(t: np.ndarray, k: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
         new = np.ones(len(t), bool)
@@ -299,42 +299,124 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, small: int = 64, par
     classes = cut(rows.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies")))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot_b = spark.sparkContext.broadcast(hot)
+    # each step ends in files of the shared folder; what it shuffled goes before the next one shuffles
+    active = _freed(_active(src, n, hot, num, den, small, part, run, parts))
+    grouped = _grouped(active, group_tokens, max_broadcast)
+    pairs = _freed(_pairs(grouped, num, den))
+    wanted = _wanted(grouped, pairs, classes, partners)
+    work = _texts(src, wanted, max_broadcast).select("doc_id", "copies", "name", "at", "text")
+    sets_of = arrow_map(work, lambda it: _blobs(it, n), "g1 long, slot long, g2 long, band int, cid long, copies long, blob binary")
+    found = cut(arrow_map(sets_of.repartition(parts, "g1", "slot").sortWithinPartitions("g1", "slot", F.col("g2").asc_nulls_first(), "cid"), lambda it: _compare(it, num, den, small), "cid long, links long, to long"))
+    del work, sets_of
+    return _finish(rows, classes, _freed(found), kind, max_broadcast)
+
+
+def _freed(df: DataFrame) -> DataFrame:
+    """df, after shuffle files that nothing refers to are given up: Spark drops them when the driver collects its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
+def _active(src: DataFrame, n: int, hot: np.ndarray, num: int, den: int, small: int, part: int, run: int, parts: int) -> DataFrame:
+    """(key, band, n, seed, prefix) of the classes whose prefix holds enough tokens that others have."""
+    hot_b = src.sparkSession.sparkContext.broadcast(hot)
     tokens = arrow_map(src.select("text"), lambda it: _emit(it, n, hot_b.value, num, den, small, part), "token long, key long, meta long")
-    shared = arrow_map(tokens.repartition(parts, "token").sortWithinPartitions("token", "key"), lambda it: _shared(it, run), "key long, band int, n long, e long, kind int, freq long, token long")
-    sets = shared.groupBy("key", "band").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.collect_list(F.struct("kind", "freq", "token")).alias("t"))
+    shared = arrow_map(tokens.repartition(parts, "token").sortWithinPartitions("token", "key"), lambda it: _shared(it, run), "key long, meta long, freq long, token long")
+    # sent as they are: lists that tasks began would be longer, as most have one token
+    field = lambda at, bits: F.shiftright("meta", at).bitwiseAND(F.lit((1 << bits) - 1))
+    flat = shared.repartition("key").select("key", field(59, 1).cast("int").alias("band"), field(29, 30).alias("n"), field(0, 29).alias("e"), field(60, 2).cast("int").alias("kind"), "freq", "token")
+    sets = flat.groupBy("key", "band").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.collect_list(F.struct("kind", "freq", "token")).alias("t"))
     k = 1 + F.floor(F.col("n") / 64)  # least(n)
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + k
     unique = F.col("e") - F.size(F.filter("t", lambda x: x["kind"] == 0))
-    active = cut(sets.withColumn("need", (prefix - unique).cast("int")).filter((F.col("need") >= k) & (F.size("t") >= k)).select("key", "band", "n", F.array_min(F.transform("t", lambda x: x["token"])).alias("seed"), F.expr("transform(slice(array_sort(t), 1, need), x -> x.token)").alias("prefix")))
+    return cut(sets.withColumn("need", (prefix - unique).cast("int")).filter((F.col("need") >= k) & (F.size("t") >= k)).select("key", "band", "n", _seed().alias("seed"), F.expr("transform(slice(array_sort(t), 1, need), x -> x.token)").alias("prefix")))
 
-    seeds = active.groupBy("seed", "band").agg(F.ceil(F.sum("n") / group_tokens).alias("chunks"))
-    grouped = cut(join_small(active, seeds, ["seed", "band"], "inner", max_broadcast).select("key", "n", F.xxhash64("seed", "band", F.pmod("key", "chunks")).alias("g"), "band", "prefix"))
-    matrix = grouped.select("g", "n", F.explode("prefix").alias("token")).groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    more = matrix.groupBy("token").count().filter("count > 1").select("token")
-    matrix = cut(matrix.join(more, "token", "left_semi"))
+
+def _seed() -> Column:
+    """The token that a class is grouped by, one that most texts similar to it have as well.
+
+    Of a set that sends tokens all documents share, most are such: the first of them. Else the first of those that are
+    about as frequent as the set's median token or more. Tokens of an edit that two texts happen to have in common would
+    make a group for each, and all of these groups meet.
+    """
+    sign = -(1 << 63)
+    at = F.when(F.col("band") == 1, F.lit(int((_BAND ^ U(1 << 63)).view(np.int64)))).otherwise(F.lit(sign))
+    hot = F.array_min(F.transform(F.filter("t", lambda x: x["kind"] == 2), lambda x: x["token"].bitwiseXOR(at)))
+    freq = F.array_sort(F.transform(F.filter("t", lambda x: x["kind"] == 0), lambda x: x["freq"]))
+    median = F.try_element_at(freq, (F.size(freq) / 2).cast("int") + 1)
+    once = F.array(F.struct(median.alias("median"), F.col("t")))  # within a lambda, it would be sorted for each token
+    common = F.transform(once, lambda s: F.array_min(F.transform(F.filter(s["t"], lambda x: (x["kind"] == 0) & (x["freq"] * 2 >= s["median"])), lambda x: x["token"])))[0]
+    return F.coalesce(hot, common, F.array_min(F.transform("t", lambda x: x["token"])))
+
+
+def _grouped(active: DataFrame, group_tokens: int, max_broadcast: int) -> DataFrame:
+    """(key, n, g, band, prefix): the classes of a seed, split into groups of about group_tokens tokens."""
+    seeds = cut(active.groupBy("seed", "band").agg(F.ceil(F.sum("n") / group_tokens).alias("chunks"), F.count("*").alias("rows")))
+    return cut(_join(active, seeds, ["seed", "band"], "inner", max_broadcast).select("key", "n", F.xxhash64("seed", "band", F.pmod("key", "chunks")).alias("g"), "band", "prefix"))
+
+
+def _pairs(grouped: DataFrame, num: int, den: int) -> DataFrame:
+    """(g1, g2): groups that share enough tokens of their prefixes, and groups of two classes or more with themselves."""
+    # one shuffle by token does for the groups of a token and for their number
+    by = grouped.select("g", "n", F.explode("prefix").alias("token")).repartition("token")
+    matrix = by.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    matrix = cut(matrix.withColumn("groups", F.count("*").over(Window.partitionBy("token"))).filter("groups > 1").drop("groups"))
     a, b = (matrix.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("g", "lo", "hi")]) for s in "12")
     fits = (F.col("g1") < F.col("g2")) & (F.col("hi1") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo1") * num)
     both = a.join(b, "token").filter(fits).groupBy("g1", "g2").agg(F.count("*").alias("common"), F.min(F.least("lo1", "lo2")).alias("lo"))
     pairs = both.filter(F.col("common") >= 1 + F.floor(F.col("lo") / 64)).select("g1", "g2")
     selves = grouped.groupBy("g").count().filter("count > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
-    pairs = cut(pairs.unionByName(selves))
-    used = pairs.select(F.explode(F.array("g1", "g2")).alias("g")).distinct()
-    members = grouped.select("key", "g", "band").distinct().join(used, "g", "left_semi")
+    return cut(pairs.unionByName(selves))
 
-    # the whole sets of the classes that some pair of groups needs, made again from their texts
-    keyed = classes.withColumn("key", _key_udf()("name"))
-    places = members.groupBy("key").agg(F.collect_list(F.struct("g", "band")).alias("at"))  # two at most, one a band
-    wanted = cut(keyed.join(places, "key").select(F.col("cid").alias("doc_id"), "copies", "name", "at"))
-    texts = join_small(src, wanted, ["doc_id"], "inner", max_broadcast)
-    sets_of = arrow_map(texts.select("doc_id", "copies", "name", "at", "text"), lambda it: _blobs(it, n), "g long, band int, cid long, copies long, blob binary")
+
+def _wanted(grouped: DataFrame, pairs: DataFrame, classes: DataFrame, partners: int) -> DataFrame:
+    """(doc_id, copies, name, at): the classes that some pair of groups needs, and the tasks that their sets are sent to."""
     # a task opens a group and all groups that it meets: its own members are sent once for `partners` of these
     slots = pairs.groupBy("g1").agg(F.ceil(F.count("*") / partners).alias("slots"))
     left = slots.select(F.col("g1").alias("g"), F.col("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), F.lit(None).cast("long").alias("g2"))
     right = pairs.filter("g1 <> g2").join(slots, "g1").select(F.col("g2").alias("g"), "g1", F.pmod(F.xxhash64("g2"), "slots").alias("slot"), "g2")
-    work = left.unionByName(right).join(sets_of, "g").select("g1", "slot", "g2", "band", "cid", "copies", "blob")
-    found = cut(arrow_map(work.repartition(parts, "g1", "slot").sortWithinPartitions("g1", "slot", F.col("g2").asc_nulls_first(), "cid"), lambda it: _compare(it, num, den, small), "cid long, links long, to long"))
-    return _finish(rows, classes, found, kind, max_broadcast)
+    tasks = left.unionByName(right)
+    places = grouped.select("key", "g", "band").join(tasks, "g").groupBy("key").agg(F.collect_list(F.struct("g1", "slot", "g2", "band")).alias("at"))
+    keyed = classes.withColumn("key", _key_udf()("name"))
+    return cut(keyed.join(places, "key").select(F.col("cid").alias("doc_id"), "copies", "name", "at"))
+
+
+def _join(big: DataFrame, small: DataFrame, on: list[str], how: str, most: int, hot: int = 10_000) -> DataFrame:
+    """Join with a table of one row a key, whose column `rows` has the key's rows in big; 'left' or 'inner'.
+
+    The table is broadcast if it has at most `most` rows. Else only keys of more than `hot` rows are (there are few, and no
+    partition should get all rows of one), and the others are joined by a shuffle that sends every row once.
+    """
+    if small.limit(most + 1).count() <= most:
+        return big.join(F.broadcast(small.drop("rows")), on, how)
+    many = F.broadcast(small.filter(F.col("rows") > hot).drop("rows"))
+    few = small.filter(F.col("rows") <= hot).drop("rows")
+    return big.join(many, on, "inner").unionByName(big.join(many, on, "left_anti").join(few, on, how))
+
+
+def _texts(src: DataFrame, wanted: DataFrame, most: int, bits: int = 27, max_bytes: int = 64 << 20) -> DataFrame:
+    """wanted with the texts of its ids. Too large to broadcast, it is joined by a shuffle of those texts that pass a Bloom filter of its ids, not of all."""
+    rows, width = wanted.agg(F.count("*"), F.coalesce(F.sum(48 + 32 * F.size("at")), F.lit(0))).first()
+    if rows <= most and width <= max_bytes:
+        return src.join(F.broadcast(wanted), "doc_id")
+    h = F.xxhash64("doc_id")
+    bit = lambda at: F.shiftright(h, at).bitwiseAND(F.lit((1 << bits) - 1))
+    ones = wanted.select(F.explode(F.array(bit(0), bit(bits))).alias("b")).groupBy((F.col("b") / 32).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 32 as int)))").alias("v")).toArrow()
+    words = np.zeros(1 << (bits - 5), np.int64)  # 16 MB go to the tasks, however many ids there are
+    words[ones.column("w").to_numpy()] = ones.column("v").to_numpy()
+    held = src.sparkSession.sparkContext.broadcast(words.astype(np.uint32))
+    some = arrow_map(src.filter("doc_id is not null").select("doc_id", "text", bit(0).alias("p"), bit(bits).alias("q")), lambda it: _passing(it, held.value), "doc_id long, text string")
+    return some.join(wanted, "doc_id")
+
+
+def _passing(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) whose two bits p and q are set."""
+    for b in batches:
+        p, q = (b.column(c).to_numpy() for c in ("p", "q"))
+        keep = words[p >> 5] >> (p & 31).astype(np.uint32) & words[q >> 5] >> (q & 31).astype(np.uint32) & 1
+        if keep.any():
+            yield b.select(["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
 
 
 def _key_udf():  # noqa: ANN202
@@ -345,17 +427,28 @@ def _key_udf():  # noqa: ANN202
     return key
 
 
-def _blobs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """A row for each group that a class is in."""
+def _blobs(batches: Iterator[pa.RecordBatch], n: int, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """A row for each task that a class is sent to, in batches of about `most` bytes."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    rows, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["g1", "slot", "g2", "band", "cid", "copies", "blob"])
+
     for b in pieces(batches, "text"):
-        rows = []
         for cid, copies, name, at, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "copies", "name", "at", "text"))):
             h = shingles(text, n)
-            if _name(h) == name:  # an id may be repeated with another text
-                rows += [(x["g"], x["band"], cid, copies, h.tobytes()) for x in at]
-        if rows:
-            cols = zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["g", "band", "cid", "copies", "blob"])
+            if _name(h) != name:  # an id may be repeated with another text
+                continue
+            blob = h.tobytes()
+            for x in at:
+                rows.append((x["g1"], x["slot"], x["g2"], x["band"], cid, copies, blob))
+                size += len(blob)
+                if size >= most:
+                    yield out()
+                    rows, size = [], 0
+    if rows:
+        yield out()
 
 
 def _finish(rows: DataFrame, classes: DataFrame, found: DataFrame, kind: str, max_broadcast: int) -> DataFrame:
@@ -363,7 +456,7 @@ def _finish(rows: DataFrame, classes: DataFrame, found: DataFrame, kind: str, ma
     comp = components(found.filter("to is not null").select(F.col("cid").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "cid")
     # per class: its least id, links to other classes, component; classes of one document without links need no row
     info = classes.join(links, "cid", "left").join(comp, "cid", "left").filter("copies > 1 or links > 0")
-    info = info.select("name", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_similar"), F.coalesce("component", "cid").alias("component"))
+    info = cut(info.select("name", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_similar"), F.coalesce("component", "cid").alias("component"), F.col("copies").alias("rows")))
     # a class goes by its least id, so the least label of a component is its least document id
-    out = join_small(rows, info, ["name"], "left", max_broadcast)
+    out = _join(rows, info, ["name"], "left", max_broadcast)
     return out.select(F.col("doc_id").cast(kind), F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component", "doc_id").cast(kind).alias("component_id"))
