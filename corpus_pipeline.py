@@ -32,12 +32,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id stay. Of repeated rows of an id, those with the same text are one document.
     """
     found = jaccard.similar(docs)
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct().withColumn("gone", F.lit(True))
-    rest = join_small(docs, gone, ["doc_id"], "left", 1_000_000).filter("gone is null").select(*docs.columns)
-    twice = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id").withColumn("twice", F.lit(True))
-    marked = join_small(rest, twice, ["doc_id"], "left", 1_000_000)
-    once = marked.filter("twice is null").select(*docs.columns)
-    return once.unionByName(marked.filter("twice is not null").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    _, rest = jaccard.split(docs, found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
+    again, once = jaccard.split(rest, found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
+    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

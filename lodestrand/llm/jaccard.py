@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -395,28 +396,57 @@ def _join(big: DataFrame, small: DataFrame, on: list[str], how: str, most: int,
     return big.join(many, on, "inner").unionByName(big.join(many, on, "left_anti").join(few, on, how))
 
 
-def _texts(src: DataFrame, wanted: DataFrame, most: int, bits: int = 27, max_bytes: int = 64 << 20) -> DataFrame:
+def _texts(src: DataFrame, wanted: DataFrame, most: int, max_bytes: int = 64 << 20) -> DataFrame:
     """wanted with the texts of its ids. Too large to broadcast, it is joined by a shuffle of those texts that pass a Bloom filter of its ids, not of all."""
     rows, width = wanted.agg(F.count("*"), F.coalesce(F.sum(48 + 32 * F.size("at")), F.lit(0))).first()
     if rows <= most and width <= max_bytes:
         return src.join(F.broadcast(wanted), "doc_id")
-    h = F.xxhash64("doc_id")
-    bit = lambda at: F.shiftright(h, at).bitwiseAND(F.lit((1 << bits) - 1))
-    ones = wanted.select(F.explode(F.array(bit(0), bit(bits))).alias("b")).groupBy((F.col("b") / 32).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 32 as int)))").alias("v")).toArrow()
-    words = np.zeros(1 << (bits - 5), np.int64)  # 16 MB go to the tasks, however many ids there are
+    return _passing(src.filter("doc_id is not null"), _bloom(wanted)).join(wanted, "doc_id")
+
+
+def _bits(bits: int = 27) -> list[Column]:
+    h = F.xxhash64(F.col("doc_id").cast("long"))
+    return [F.shiftright(h, at).bitwiseAND(F.lit((1 << bits) - 1)) for at in (0, bits)]
+
+
+def _bloom(ids: DataFrame, bits: int = 27) -> Broadcast:
+    """A Bloom filter of ids(doc_id), of two bits each: 16 MB go to the tasks, however many ids there are."""
+    word = F.expr("bit_or(shiftleft(1L, cast(b % 32 as int)))")
+    ones = ids.select(F.explode(F.array(*_bits(bits))).alias("b")).groupBy((F.col("b") / 32).cast("int").alias("w")).agg(word.alias("v")).toArrow()
+    words = np.zeros(1 << (bits - 5), np.int64)
     words[ones.column("w").to_numpy()] = ones.column("v").to_numpy()
-    held = src.sparkSession.sparkContext.broadcast(words.astype(np.uint32))
-    some = arrow_map(src.filter("doc_id is not null").select("doc_id", "text", bit(0).alias("p"), bit(bits).alias("q")), lambda it: _passing(it, held.value), "doc_id long, text string")
-    return some.join(wanted, "doc_id")
+    return ids.sparkSession.sparkContext.broadcast(words.astype(np.uint32))
 
 
-def _passing(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text) whose two bits p and q are set."""
-    for b in batches:
-        p, q = (b.column(c).to_numpy() for c in ("p", "q"))
-        keep = words[p >> 5] >> (p & 31).astype(np.uint32) & words[q >> 5] >> (q & 31).astype(np.uint32) & 1
-        if keep.any():
-            yield b.select(["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
+def _passing(df: DataFrame, bloom: Broadcast, passing: bool = True) -> DataFrame:
+    """Rows of df whose doc_id passes a Bloom filter, or those whose doc_id doesn't."""
+    names = df.columns
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = bloom.value
+        for b in batches:
+            p, q = (b.column(c).to_numpy() for c in ("_p", "_q"))
+            held = words[p >> 5] >> (p & 31).astype(np.uint32) & words[q >> 5] >> (q & 31).astype(np.uint32) & 1
+            keep = (held == 1) == passing
+            if keep.any():
+                yield b.select(names).filter(pa.array(keep))
+
+    p, q = _bits()
+    return arrow_map(df.withColumns({"_p": p, "_q": q}), rows, df.schema)
+
+
+def split(docs: DataFrame, ids: DataFrame, most: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs whose doc_id is in ids(doc_id), and the others, null ids among them.
+
+    If ids are too many to broadcast, rows that a Bloom filter of them rules out aren't sent.
+    """
+    if ids.limit(most + 1).count() <= most:
+        return tuple(docs.join(F.broadcast(ids), "doc_id", how).select(*docs.columns) for how in ("left_semi", "left_anti"))
+    ids = cut(ids)
+    bloom = _bloom(ids)
+    maybe = _passing(docs, bloom)
+    found, rest = (maybe.join(ids, "doc_id", how).select(*docs.columns) for how in ("left_semi", "left_anti"))
+    return found, rest.unionByName(_passing(docs, bloom, False))
 
 
 def _key_udf():  # noqa: ANN202

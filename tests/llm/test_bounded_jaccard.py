@@ -58,8 +58,22 @@ def test_only_wanted_texts_are_sent(spark):
     wanted = spark.range(-3, 497, 50).select(F.col("id").alias("doc_id"), F.lit(1).alias("copies"), F.array(F.struct(F.lit(1).alias("g1"))).alias("at"))
     texts = jaccard._texts(src, wanted, 1)
     assert {(r.doc_id, r.text) for r in texts.collect()} == {(i, f"t{i}") for i in range(-3, 497, 50)}
-    bits = jaccard._texts(src, wanted.limit(0), -1)
-    assert bits.count() == 0
+    sent = jaccard._passing(src, jaccard._bloom(wanted))
+    assert 10 <= sent.count() < 20 and sent.count() + jaccard._passing(src, jaccard._bloom(wanted), False).count() == src.count()
+
+
+@pytest.mark.parametrize("most", [1000, 1])
+def test_documents_are_split_by_ids(spark, most):
+    """Rows of one id go together, null ids with the rest; the pipeline's stage of near copies sends no text that no id may be of."""
+    rows = [*[(i, f"t{i}") for i in range(300)], (7, "again"), (8, "again"), (None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").select("text", "doc_id")
+    found, rest = jaccard.split(docs, spark.range(0, 100, 7).select(F.col("id").cast("int").alias("doc_id")), most)
+    assert found.columns == rest.columns == docs.columns
+    inside = lambda i: i is not None and i < 100 and i % 7 == 0
+    key = lambda r: (r[1] is None, r[1], r[0])
+    assert sorted(map(tuple, found.collect()), key=key) == sorted([(t, i) for i, t in rows if inside(i)], key=key)
+    assert sorted(map(tuple, rest.collect()), key=key) == sorted([(t, i) for i, t in rows if not inside(i)], key=key)
+    assert "salt" not in rest._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_a_cluster_has_few_pairs_of_groups(spark, cuts):
