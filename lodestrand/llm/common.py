@@ -94,7 +94,9 @@ def running(df: DataFrame, order: list[str], *sums: str) -> tuple[DataFrame, lis
         starts.append((p, *total))
         total = [a + b for a, b in zip(total, own)]
     names = ["idx", *[f"before_{c}" for c in sums]]
-    offsets = df.sparkSession.createDataFrame(starts, "_p int, " + ", ".join(f"_{n} {k}" for n, k in zip(names, kinds)))
+    # from Arrow: a list of rows would go through an RDD, whose Python workers stay beside the SQL ones
+    types = {"_p": pa.int32()} | {f"_{n}": pa.float64() if k == "double" else pa.int64() for n, k in zip(names, kinds)}
+    offsets = df.sparkSession.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*starts) if starts else [()] * len(types), types.values())], names=[*types]))
     up = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = {"idx": F.count("*").over(up) - 1} | {f"before_{c}": F.sum(c).over(up) - F.col(c) for c in sums}
     out = ranged.withColumns(own).join(F.broadcast(offsets), "_p")

@@ -21,6 +21,7 @@ import base64
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,13 +66,13 @@ def encoder(name: str = "byte_bpe_50k", folder: str | None = None) -> Callable[[
         with open(at(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        exact = Tokenizer.from_file(at(f"{name}.json"))
+        exact = cache(lambda: Tokenizer.from_file(at(f"{name}.json")))  # 28 MB that most tasks have no use for
         inner, first = Cache(fast, " "), Cache(fast, "", 20_000)
         _CACHES.extend([inner, first])
 
         def encode(text: str) -> bytes:
             if SPECIAL in text:
-                return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                return np.array(exact().encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
             if _RUN.search(text):
                 return np.array(fast(text), dtype="<u4").tobytes()
             head, *rest = text.split(" ")

@@ -38,6 +38,8 @@ from .nets import F32, Adam, gru, gru_back, sigmoid, uniform
 #: Rows of the tables of words and of runs of characters, their width, states of a spelling in each direction, of a window in each direction, bytes of a word.
 WORDS, GRAMS, DIM, CHARS, HIDDEN, LONG = 1 << 16, 1 << 16, 8, 8, 8, 22
 INPUT = DIM + 2 * CHARS
+#: Bytes of text that are split into words at a time, and words that may be kept from one such slice to the next: scores don't depend on either.
+SLICE, KEPT = 500_000, 100_000
 OVERLAP = 8
 _PLAIN = re.compile(r"[\W_]+")
 
@@ -160,6 +162,7 @@ class Model:
         self.p, self.width = p, width
         self.ids: dict[str, int] = {}
         self.rows = np.zeros((1024, 6 * HIDDEN), F32)
+        self.uses = np.zeros(1024, np.int64)
 
     def __getstate__(self) -> dict:
         return {"p": self.p, "width": self.width}
@@ -176,15 +179,29 @@ class Model:
         for i, w in enumerate(new):
             ids[w] = at + i
         if at + len(new) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(len(new), len(self.rows)), self.rows.shape[1]), F32)])
+            self._resize(np.arange(at), max(at + len(new), KEPT + 32_768))  # pages that no word reaches aren't touched
         for i in range(0, len(new), 2048):
             x = inputs(self.p, *spelt(new[i : i + 2048]))[0]
             self.rows[at + i : at + i + len(x)] = x @ self.p["w"] + self.p["b"]
-        return [np.fromiter(map(ids.__getitem__, words), np.int32, len(words)) for words in split]
+        out = [np.fromiter(map(ids.__getitem__, words), np.int32, len(words)) for words in split]
+        self.uses += np.bincount(np.concatenate([*out, np.zeros(0, np.int32)]), minlength=len(self.uses))
+        return out
+
+    def _resize(self, kept: np.ndarray, size: int) -> None:
+        """Room for `size` words, those at `kept` first."""
+        rows, uses = self.rows[kept], self.uses[kept]
+        self.rows, self.uses = np.zeros((size, 6 * HIDDEN), F32), np.zeros(size, np.int64)
+        self.rows[: len(kept)], self.uses[: len(kept)] = rows, uses
 
-    def forget(self, most: int = 150_000) -> None:
+    def forget(self, most: int = KEPT) -> None:
+        """Beyond `most` words, only those stay that were used again since the last time, half of `most` at most."""
         if len(self.ids) > most:
-            self.ids, self.rows = {}, np.zeros((1024, 6 * HIDDEN), F32)
+            again = self.uses > 1
+            words = [w for w, i in self.ids.items() if again[i]][: most // 2]
+            kept = np.array([0, *map(self.ids.__getitem__, words)])
+            self.ids = {w: i for i, w in enumerate(words, 1)}
+            self._resize(kept, KEPT + 32_768 if words else 1024)
+            self.uses[:] = 0
 
     def windows(self, n: int) -> np.ndarray:
         """Starts of the windows of n words, each sharing OVERLAP words with the next, the last one reaching the end."""
@@ -392,7 +409,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", SLICE):
             if isinstance(m, float):
                 s = np.full(b.num_rows, m)
             else:
