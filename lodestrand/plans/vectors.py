@@ -89,7 +89,7 @@ def near_pairs_banded(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {CODES}, p AS (SELECT a.idx AS a, b.idx AS b, {DIST} AS distance FROM codes a JOIN codes b ON a.idx < b.idx WHERE {DIST} <= 50) SELECT a, b, distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS n FROM p) WHERE n <= 5")
 def near_pairs_capped(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieve.capped(retrieve.near_pairs(coded(spark, sf), 50), 5).select("a", "b", F.col("distance").cast("int"))
+    return retrieve.nearest_pairs(coded(spark, sf), 50, 5)
 
 
 _KNN_H = f"knn AS MATERIALIZED (SELECT * FROM (SELECT a.idx AS query, b.idx AS idx, {DIST} AS distance, row_number() OVER (PARTITION BY a.idx ORDER BY {DIST}, b.idx) AS rank FROM codes a JOIN codes b ON a.idx <> b.idx) WHERE rank <= 20)"
