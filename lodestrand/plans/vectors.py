@@ -159,9 +159,7 @@ def cluster_purity(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {CODES} SELECT a.idx AS a, b.idx AS b FROM codes a JOIN codes b ON a.idx < b.idx AND a.label = b.label WHERE {DIST} <= 50")
 def constrained_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Near pairs kept only within one asserted group: here, a label."""
-    df = coded(spark, sf)
-    groups = df.select(F.col("idx").alias("id"), F.col("label").alias("component"))
-    return graph.within_groups(retrieve.near_pairs(df, 50), groups)
+    return retrieve.near_pairs(coded(spark, sf), 50, within="label").select("a", "b")
 
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id ")

@@ -32,3 +32,13 @@ def test_nearest_pairs_leave_a_tile_k_a_record(spark):
     assert {tuple(r) for r in retrieve.nearest_pairs(df, 60, 3, block=64).collect()} == want and len(want) < len(near(rows, 60)) / 4
     b = retrieve.Blocks(df, "idx", "code", "hamming", 64, None)
     assert retrieve._nearest(b, b, 3, "hamming", after=True, within=60).groupBy("query").count().agg(F.max("count")).first()[0] <= 3 * b.n
+
+
+def test_pairs_within_a_label_are_tested_in_the_tile(spark):
+    df, rows = coded(spark)
+    want = {(a, b) for a, b, _ in near(rows, 64) if rows[a][1] is not None and rows[a][1] == rows[b][1]}
+    got = retrieve.near_pairs(df, 64, block=64, within="label").select("a", "b")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    groups = df.select(F.col("idx").alias("id"), F.col("label").alias("component"))
+    assert {tuple(r) for r in graph.within_groups(retrieve.near_pairs(df, 64, block=64), groups).collect()} == want
