@@ -47,14 +47,14 @@ def simhash(vec: Column, dim: int, bits: int = BITS, seed: int = SEED) -> Column
 
     @F.pandas_udf("array<long>")
     def project(v: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(v), dtype=object)
+        out: list = [None] * len(v)
         ok = np.flatnonzero(v.notna())
-        if len(ok):
-            m = np.stack(v.iloc[ok].to_list()).astype(np.float64)
-            words = pack_bits(m @ p > 0)
-            for i, w, zero in zip(ok, words, ~m.any(axis=1)):
-                out.iloc[i] = None if zero else w.tolist()
-        return out
+        for lo in range(0, len(ok), 2048):  # the products are as wide as the codes
+            part = ok[lo : lo + 2048]
+            m = np.stack(v.iloc[part].to_list()).astype(np.float64)
+            for i, w, any_ in zip(part.tolist(), pack_bits(m @ p > 0).tolist(), m.any(axis=1).tolist()):
+                out[i] = w if any_ else None
+        return pd.Series(out, dtype=object)
 
     return project(vec)
 

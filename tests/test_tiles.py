@@ -42,3 +42,25 @@ def test_pairs_within_a_label_are_tested_in_the_tile(spark):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     groups = df.select(F.col("idx").alias("id"), F.col("label").alias("component"))
     assert {tuple(r) for r in graph.within_groups(retrieve.near_pairs(df, 64, block=64), groups).collect()} == want
+
+
+@pytest.mark.parametrize("words", [2, 4, 8])
+def test_wide_codes_have_the_neighbours_of_plain_loops(spark, words):
+    rng = np.random.default_rng(words)
+    c = rng.integers(-(2**62), 2**62, (12, words))[rng.integers(0, 12, 90)] ^ (1 << rng.integers(0, 6, (90, words)))
+    df = spark.createDataFrame([(i, [int(x) for x in w]) for i, w in enumerate(c)], "idx long, code array<long>")
+    got = retrieve.knn(df, df, 4, "code", "hamming", block=16)
+    want = {(i, j, d, n + 1) for i in range(90) for n, (d, j) in enumerate(sorted((far(map(int, c[i]), map(int, c[j])), j) for j in range(90) if j != i)[:4])}
+    assert {(r.query, r.idx, int(r.score), r.rank) for r in got.collect()} == want
+
+
+#: Queries whose blocks meet in tiles: none has a join of all with all in its plan.
+TILED = ["near_pairs_capped", "constrained_edges", "width_sweep"]
+
+
+@pytest.mark.parametrize("name", TILED)
+def test_no_join_of_blocks_with_blocks(spark, sf, name):
+    from lodestrand.plans import registry
+
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
