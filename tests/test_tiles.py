@@ -64,3 +64,13 @@ def test_no_join_of_blocks_with_blocks(spark, sf, name):
 
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_pairs_of_one_label_are_spread(spark):
+    rows = [(i, None if i % 9 == 0 else "few" if i % 20 == 1 else "hot") for i in range(400)]
+    df = spark.createDataFrame(rows, "idx long, label string")
+    got = graph.same_label_pairs(df, chunk=20, each=2000)
+    want = [(i, j) for i, k in rows for j, m in rows if i < j and k == m and k is not None]
+    assert sorted(tuple(r) for r in got.collect()) == want
+    most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < len(want) / 8
