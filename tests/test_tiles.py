@@ -55,7 +55,7 @@ def test_wide_codes_have_the_neighbours_of_plain_loops(spark, words):
 
 
 #: Queries whose blocks meet in tiles: none has a join of all with all in its plan.
-TILED = ["near_pairs_capped", "constrained_edges", "width_sweep"]
+TILED = ["near_pairs_capped", "constrained_edges", "width_sweep", "cosine_pairs"]
 
 
 @pytest.mark.parametrize("name", TILED)
@@ -74,3 +74,18 @@ def test_pairs_of_one_label_are_spread(spark):
     assert sorted(tuple(r) for r in got.collect()) == want
     most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert most < len(want) / 8
+
+
+def test_a_tile_is_a_task_of_its_own(spark):
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((30, 8)).astype(np.float32)[rng.integers(0, 30, 300)]
+    v[5] = 0
+    df = spark.createDataFrame([(i, [float(x) for x in w]) for i, w in enumerate(v)], "idx long, vec array<float>")
+    n = np.linalg.norm(v.astype(float), axis=1)
+    cos = np.divide(v.astype(float) @ v.T.astype(float), np.outer(n, n), out=np.zeros((300, 300)), where=np.outer(n, n) > 0)
+    got = retrieve.cosine_pairs(df, 0.4, block=32)
+    assert {(r.a, r.b) for r in got.collect()} == {(i, j) for i in range(300) for j in range(i + 1, 300) if cos[i, j] >= 0.4}
+    b = retrieve.Blocks(df, "idx", "vec", "cosine", 32, None)
+    held = retrieve._tiles(b, b, lambda x, y: iter([([sum(len(d) for _, _, d in x + y)],)]), "rows long", False, half=True).collect()
+    assert len(held) >= 36 and max(r.rows for r in held) <= 2 * -(-b.n // 8) * 64
+    assert held and got.rdd.getNumPartitions() == len(held)
