@@ -137,7 +137,7 @@ def _components_sql(edges: str) -> str:
 @query(f"WITH RECURSIVE {CODES}, {_components_sql(f'SELECT a.idx AS a, b.idx AS b FROM codes a JOIN codes b ON a.idx < b.idx WHERE {DIST} <= 36')} SELECT c.idx AS vec_id, coalesce(component, c.idx) AS component FROM codes c LEFT JOIN comp ON c.idx = comp.id")
 def code_components(spark: SparkSession, sf: str) -> DataFrame:
     df = coded(spark, sf)
-    return graph.labelled(df, retrieve.near_pairs(df, 36)).select(F.col("idx").alias("vec_id"), "component")
+    return graph.labelled(df, retrieve.near_links(df, 36)).select(F.col("idx").alias("vec_id"), "component")
 
 
 @query(f"WITH RECURSIVE {_KNN_C}, {_components_sql('SELECT x.query AS a, x.idx AS b FROM knn x JOIN knn y ON x.query = y.idx AND x.idx = y.query WHERE x.query < x.idx AND x.rank <= 2 AND y.rank <= 2')} SELECT c.vec_id, coalesce(component, c.vec_id) AS component FROM embeddings c LEFT JOIN comp ON c.vec_id = comp.id")
@@ -152,7 +152,7 @@ _SCORE_SQL = "cells AS (SELECT cluster, label, count(*) AS n FROM items GROUP BY
 @query(f"WITH RECURSIVE {CODES}, {_components_sql(f'SELECT a.idx AS a, b.idx AS b FROM codes a JOIN codes b ON a.idx < b.idx WHERE {DIST} <= 38')}, items AS (SELECT label, coalesce(component, c.idx) AS cluster FROM codes c LEFT JOIN comp ON c.idx = comp.id), {_SCORE_SQL}")
 def cluster_purity(spark: SparkSession, sf: str) -> DataFrame:
     df = coded(spark, sf)
-    s = graph.cluster_score(graph.labelled(df, retrieve.near_pairs(df, 38)).withColumnRenamed("component", "cluster"))
+    s = graph.cluster_score(graph.labelled(df, retrieve.near_links(df, 38)).withColumnRenamed("component", "cluster"))
     return s.select(*[F.round(c, 6).alias(c) for c in ("together", "purity", "f1")], "clusters", "largest")
 
 

@@ -55,7 +55,7 @@ def test_wide_codes_have_the_neighbours_of_plain_loops(spark, words):
 
 
 #: Queries whose blocks meet in tiles: none has a join of all with all in its plan.
-TILED = ["near_pairs_capped", "constrained_edges", "width_sweep", "cosine_pairs"]
+TILED = ["near_pairs_capped", "constrained_edges", "width_sweep", "cosine_pairs", "cluster_purity"]
 
 
 @pytest.mark.parametrize("name", TILED)
@@ -89,3 +89,13 @@ def test_a_tile_is_a_task_of_its_own(spark):
     held = retrieve._tiles(b, b, lambda x, y: iter([([sum(len(d) for _, _, d in x + y)],)]), "rows long", False, half=True).collect()
     assert len(held) >= 36 and max(r.rows for r in held) <= 2 * -(-b.n // 8) * 64
     assert held and got.rdd.getNumPartitions() == len(held)
+
+
+def test_links_join_what_pairs_join(spark):
+    df, rows = coded(spark, 240, 12)
+    for radius in (2, 8, 50):
+        links = retrieve.near_links(df, radius, block=64)
+        want, got = ({r.id: r.component for r in graph.components(e).collect()} for e in (retrieve.near_pairs(df, radius, block=64), links))
+        assert got == want
+    n = retrieve.Blocks(df, "idx", "code", "hamming", 64, None).n
+    assert retrieve.near_links(df, 128, block=64).count() <= len(rows) * (n + 1) < len(near(rows, 128)) / 4
