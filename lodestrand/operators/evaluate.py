@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 KS = (1, 5, 10, 20)
 
 
@@ -102,6 +104,31 @@ def multiset_jaccard(a: DataFrame, b: DataFrame, ids: tuple[str, str] = ("a", "b
     return both.select(x, y, (F.col("common") / (F.col("ta") + F.col("tb") - F.col("common"))).alias("jaccard"))
 
 
+def text_jaccard(a: DataFrame, b: DataFrame, words: Column, ids: tuple[str, str] = ("a", "b"), text: str = "text", each: int = 5000, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """multiset_jaccard of the words of many texts a(a, text) with those of few texts b(b, text); rows of one id are one text.
+
+    words: an array of a text's words, with repeats. A text of a is sent once, to its id's task, of about `each` texts. There a
+    word is met by the list of those of b that have it, which is broadcast, so that all sums are taken where the text is; beyond the
+    bounds, counts are joined by word.
+    """
+    x, y = ids
+    count = lambda d, k: d.filter(F.col(k).isNotNull()).select(k, F.explode(words).alias("token")).groupBy(k, "token").agg(F.count("*").alias("n"))
+    other = cut(count(b, y))
+    rows, width = other.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("token") + 32), F.lit(0))).first()
+    if rows > max_rows or width > max_bytes:
+        return multiset_jaccard(count(a, x), other, ids)
+    sized = other.join(other.groupBy(y).agg(F.sum("n").alias("t")), y)
+    lists = cut(sized.groupBy("token").agg(F.collect_list(F.struct(F.col(y).alias("y"), "n", "t")).alias("at")))
+    tasks = max(a.sparkSession.sparkContext.defaultParallelism, min(20_000, a.count() // each))
+    met = count(a.select(x, text).repartition(tasks, x), x).join(F.broadcast(lists), "token", "left")
+    # besides its matches, each word gives its number to the text's size, as that of no y
+    none = F.struct(F.lit(None).cast(dict(b.dtypes)[y]).alias("y"), F.col("n"), F.lit(None).cast("long").alias("t"))
+    hits = met.select(x, "n", F.explode(F.concat(F.coalesce("at", F.array()), F.array(none))).alias("o"))
+    sums = hits.groupBy(x, F.col("o.y").alias("y")).agg(F.sum(F.least("n", "o.n")).alias("k"), F.max("o.t").alias("t"))
+    whole = sums.groupBy(x).agg(F.max(F.when(F.col("y").isNull(), F.col("k"))).alias("own"), F.collect_list(F.when(F.col("y").isNotNull(), F.struct("y", "k", "t"))).alias("o"))
+    return whole.select(x, "own", F.explode("o").alias("o")).select(x, F.col("o.y").alias(y), (F.col("o.k") / (F.col("own") + F.col("o.t") - F.col("o.k"))).alias("jaccard"))
+
+
 def overlap_correlation(counts: DataFrame, vectors: DataFrame, idx: str = "doc_id") -> DataFrame:
     """(pearson, pairs): how multiset overlap of counts(idx, token, n) goes with cosine of vectors(idx, vec), over items and their next ones."""
     from .vectors import cosine

@@ -104,9 +104,10 @@ _TOK = "regexp_extract_all(lower(text), '[a-z]+')"
 @query(f"WITH d AS (SELECT doc_id AS a, t AS token, count(*) AS n FROM (SELECT doc_id, unnest({_TOK}) AS t FROM documents) GROUP BY ALL), i AS (SELECT item_id AS b, t AS token, count(*) AS n FROM (SELECT item_id, unnest({_TOK}) AS t FROM benchmark) GROUP BY ALL), c AS (SELECT a, b, sum(least(d.n, i.n)) AS c FROM d JOIN i USING (token) GROUP BY a, b) SELECT a, b, round(c.c / (ta.n + tb.n - c.c), 6)::DOUBLE AS jaccard FROM c JOIN (SELECT a, sum(n) AS n FROM d GROUP BY a) ta USING (a) JOIN (SELECT b, sum(n) AS n FROM i GROUP BY b) tb USING (b)")
 def jaccard_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Multiset overlap of words of documents with benchmark items."""
-    tok = lambda d, i, a: d.select(F.col(i).alias(a), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("token")).groupBy(a, "token").agg(F.count("*").alias("n"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
     d, b = docs(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")
-    return evaluate.multiset_jaccard(tok(d, "doc_id", "a"), tok(b, "item_id", "b")).withColumn("jaccard", F.round("jaccard", 6))
+    j = evaluate.text_jaccard(d.select(F.col("doc_id").alias("a"), "text"), b.select(F.col("item_id").alias("b"), "text"), words)
+    return j.withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256(doc_id || ',0'), doc_id) AS turn FROM documents) SELECT doc_id, source, turn::INTEGER AS turn FROM r ORDER BY turn, sha256(source || ',0'), source LIMIT 100")

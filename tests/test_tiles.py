@@ -99,3 +99,28 @@ def test_links_join_what_pairs_join(spark):
         assert got == want
     n = retrieve.Blocks(df, "idx", "code", "hamming", 64, None).n
     assert retrieve.near_links(df, 128, block=64).count() <= len(rows) * (n + 1) < len(near(rows, 128)) / 4
+
+
+def test_documents_of_a_token_are_not_sent_by_token(spark):
+    rng = np.random.default_rng(4)
+    docs = [(int(i) // 2, " ".join(f"w{chr(97 + x)}" for x in rng.integers(0, 9, 12))) for i in range(40)]  # two rows an id
+    items = [(i, " ".join(f"w{chr(97 + x)}" for x in rng.integers(0, 12, 6))) for i in range(7)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (9, "nothing like it")], "item_id long, text string")
+    count = {}
+    for side, rows in (("d", docs), ("i", items)):
+        for i, t in rows:
+            for w in t.split():
+                count.setdefault((side, i), {}).setdefault(w, 0)
+                count[side, i][w] += 1
+    want = {}
+    for i in {i for i, _ in docs}:
+        for j, _ in items:
+            x, y = count["d", i], count["i", j]
+            if common := sum(min(n, y.get(w, 0)) for w, n in x.items()):
+                want[i, j] = common / (sum(x.values()) + sum(y.values()) - common)
+    words = F.regexp_extract_all("text", F.lit("([a-z]+)"), F.lit(1))
+    for most in (200_000, 1):  # items whose lists are broadcast, and too many to be
+        got = evaluate.text_jaccard(d.withColumnRenamed("doc_id", "a"), b.withColumnRenamed("item_id", "b"), words, each=10, max_rows=most)
+        assert {(r.a, r.b): r.jaccard for r in got.collect()} == pytest.approx(want)
+        plan = got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2]
+        assert (plan.count("Exchange hashpartitioning") == 1) == (most > 1)
