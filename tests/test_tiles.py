@@ -55,7 +55,7 @@ def test_wide_codes_have_the_neighbours_of_plain_loops(spark, words):
 
 
 #: Queries whose blocks meet in tiles: none has a join of all with all in its plan.
-TILED = ["near_pairs_capped", "constrained_edges", "width_sweep", "cosine_pairs", "cluster_purity", "knn_hamming", "mutual_knn_pairs", "recall_in_other_books", "near_pairs", "recall_by_label", "knn_cosine", "code_components", "recall_hamming", "first_hit_ranks", "neighbours_in_other_books", "knn_components"]
+TILED = ["near_pairs_capped", "constrained_edges", "width_sweep", "cosine_pairs", "cluster_purity", "knn_hamming", "mutual_knn_pairs", "recall_in_other_books", "near_pairs", "recall_by_label", "knn_cosine", "code_components", "recall_hamming", "first_hit_ranks", "neighbours_in_other_books", "knn_components", "same_author_control"]
 
 
 @pytest.mark.parametrize("name", TILED)
