@@ -168,6 +168,23 @@ def hash_embedding(text: str, dim: int = 64) -> np.ndarray:
     return v / n if n > 1e-12 else v
 
 
+def hash_embeddings(texts: list[str], dim: int = 64) -> np.ndarray:
+    """hash_embedding of each text, all windows at once."""
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    b = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
+    v = np.zeros((len(parts), dim), np.float32)
+    if len(b) > 3:
+        h = np.full(len(b) - 3, 2166136261, np.uint32)
+        for i in range(4):
+            h = (h ^ b[i : len(b) - 3 + i]) * np.uint32(16777619)
+        row = np.repeat(np.arange(len(parts)), sizes)
+        whole = row[: len(h)] == row[3:]  # windows of one text alone
+        v = np.bincount(row[: len(h)][whole] * dim + (h[whole] % dim).astype(np.int64), minlength=len(parts) * dim).reshape(-1, dim).astype(np.float32)
+    n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(n > 1e-12, n, 1)
+
+
 def embed_udf(embed: Callable[[list[str]], list], batch: int = 128):  # noqa: ANN201
     """array<float> column from an embedder of lists of texts, `batch` at a time; fails rather than leaving texts out."""
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, raw
 from ..functions import text as X
+from ..session import cut
 from ..sources import store
 
 
@@ -33,7 +34,7 @@ class HashEmbedder:
         self.name, self.dim = f"hash-{dim}", dim
 
     def embed_batch(self, texts: list[str]) -> list:
-        return [raw.hash_embedding(t, self.dim) for t in texts]
+        return list(raw.hash_embeddings(texts, self.dim))
 
 
 def embedded(texts: Column, embedder: Embedder, batch: int = 128) -> Column:
@@ -50,11 +51,11 @@ def embedded(texts: Column, embedder: Embedder, batch: int = 128) -> Column:
 
 def semantic_records(paragraphs: DataFrame, embedder: Embedder, seed: int = codes.SEED) -> tuple[DataFrame, DataFrame, dict]:
     """(records, sidecar vectors by idx, parameters) of paragraphs with text, off, len and bytes."""
-    withvec = paragraphs.withColumn("vec", embedded(F.col("text"), embedder))
+    # written at once: the ranges of the order, the codes and the sidecar would each embed all texts again
+    withvec = cut(paragraphs.withColumn("vec", embedded(F.col("text"), embedder)))
     coded = withvec.withColumn("code", codes.simhash(F.col("vec"), embedder.dim, seed=seed))
-    records = store.records(coded, F.col("code"))
-    vectors = records.select("idx", "path", "para").join(withvec.select("path", "para", "vec"), ["path", "para"]).select("idx", "vec")
-    return records, vectors, store.params(embedder.name, embedder.dim, seed=seed)
+    both = store.records(coded, F.col("code"), keep=("vec",))
+    return both.drop("vec"), both.select("idx", "vec"), store.params(embedder.name, embedder.dim, seed=seed)
 
 
 def fill_cache(texts: DataFrame, cache: DataFrame, embedder: Embedder) -> DataFrame:

@@ -86,10 +86,11 @@ def opened(spark: SparkSession, path: str, wanted: dict | None = None, keys: tup
     return spark.read.parquet(f"{path}/{version}/rows"), about
 
 
-def records(paragraphs: DataFrame, code: Column | None = None, order: tuple[str, ...] = ("path", "para"), documents: bool = False) -> DataFrame:
+def records(paragraphs: DataFrame, code: Column | None = None, order: tuple[str, ...] = ("path", "para"), documents: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Records of paragraphs(path, para, off, len, bytes, ...): hash of the bytes, code (shingles by default), metadata.
 
-    idx is the place in the order of path and para. documents: with a record (para 0) for each path.
+    idx is the place in the order of path and para. documents: with a record (para 0) for each path. keep: further columns
+    of paragraphs to stay behind the records' own.
     """
     from ..session import ship
 
@@ -102,8 +103,8 @@ def records(paragraphs: DataFrame, code: Column | None = None, order: tuple[str,
     has = lambda c, kind, default=None: (F.col(c) if c in rows.columns else F.lit(default)).cast(kind).alias(c)
     rows = rows.withColumn("_c", codes.shingle_lsh(F.col("bytes")) if code is None else code)
     # a number in a total order without one task: rank within ranges, plus the ranges before
-    made = rows.select("path", "para", "off", "len", codes.content_hash(F.col("bytes")).alias("hash"), F.lit("sha256").alias("algo"), F.get("_c", 0).alias("lsh0"), F.get("_c", 1).alias("lsh1"), has("timestamp", "long", 0), has("category", "int", 0), has("trits", "int"), has("cluster", "long", 0))
-    return with_index(made, list(order)).select(*SCHEMA.names)
+    made = rows.select("path", "para", "off", "len", codes.content_hash(F.col("bytes")).alias("hash"), F.lit("sha256").alias("algo"), F.get("_c", 0).alias("lsh0"), F.get("_c", 1).alias("lsh1"), has("timestamp", "long", 0), has("category", "int", 0), has("trits", "int"), has("cluster", "long", 0), *keep)
+    return with_index(made, list(order)).select(*SCHEMA.names, *keep)
 
 
 def with_index(df: DataFrame, order: list[str]) -> DataFrame:

@@ -124,3 +124,27 @@ def test_documents_of_a_token_are_not_sent_by_token(spark):
         assert {(r.a, r.b): r.jaccard for r in got.collect()} == pytest.approx(want)
         plan = got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2]
         assert (plan.count("Exchange hashpartitioning") == 1) == (most > 1)
+
+
+def test_texts_are_embedded_once(spark):
+    from lodestrand.functions import raw
+    from lodestrand.operators import models
+
+    texts = ["", "abc", "abcd", "ships at sea", "é’x weather", "a" * 300, "xyz", "bcda"]
+    assert [list(v) for v in raw.hash_embeddings(texts, 16)] == [list(raw.hash_embedding(t, 16)) for t in texts]
+    assert raw.hash_embeddings(["ab", "cd", "ef"], 8).any() == False  # noqa: E712
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting(models.HashEmbedder):
+        def embed_batch(self, part):
+            seen.add(len(part))
+            return super().embed_batch(part)
+
+    rows = [("b" if i % 3 else "a", i, 0, 60, bytearray(t.encode()), t) for i, t in enumerate(f"number {j} of the texts" for j in range(50))]
+    paras = spark.createDataFrame(rows, "path string, para long, off long, len long, bytes binary, text string").repartition(3)
+    records, side, _ = models.semantic_records(paras, Counting(16))
+    got = {r.para: (r.idx, r.vec) for r in side.join(records, "idx").collect()}
+    assert seen.value == len(rows)
+    order = sorted(range(50), key=lambda i: ("b" if i % 3 else "a", i))
+    assert {i: got[i][0] for i in range(50)} == {i: n for n, i in enumerate(order)}
+    assert all(got[i][1] == list(map(float, raw.hash_embedding(rows[i][5], 16))) for i in range(50))
