@@ -55,7 +55,7 @@ def test_wide_codes_have_the_neighbours_of_plain_loops(spark, words):
 
 
 #: Queries whose blocks meet in tiles: none has a join of all with all in its plan.
-TILED = ["near_pairs_capped", "constrained_edges", "width_sweep", "cosine_pairs", "cluster_purity", "knn_hamming", "mutual_knn_pairs", "recall_in_other_books", "near_pairs", "recall_by_label", "knn_cosine", "code_components", "recall_hamming", "first_hit_ranks", "neighbours_in_other_books", "knn_components", "same_author_control"]
+TILED = ["near_pairs_capped", "constrained_edges", "width_sweep", "cosine_pairs", "knn_hamming", "mutual_knn_pairs", "recall_in_other_books", "near_pairs", "recall_by_label", "knn_cosine", "recall_hamming", "first_hit_ranks", "neighbours_in_other_books", "same_author_control"]
 
 
 @pytest.mark.parametrize("name", TILED)
@@ -66,6 +66,16 @@ def test_no_join_of_blocks_with_blocks(spark, sf, name):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("name", ["cluster_purity", "code_components", "knn_components"])
+def test_no_join_of_blocks_with_blocks_before_components(spark, sf, name, monkeypatch):
+    from lodestrand.plans import registry
+
+    seen, components = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda e, *a: (seen.append(e._jdf.queryExecution().executedPlan().toString()), components(e, *a))[1])
+    registry.queries()[name](spark, sf)
+    assert len(seen) == 1 and "Cartesian" not in seen[0] and "NestedLoop" not in seen[0]
+
+
 def test_pairs_of_one_label_are_spread(spark):
     rows = [(i, None if i % 9 == 0 else "few" if i % 20 == 1 else "hot") for i in range(400)]
     df = spark.createDataFrame(rows, "idx long, label string")
